@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from granary.functions.missing import sum_r
 from granary.operators.aggregate import count_by_group
 from granary.operators.joins import anti_join, join_checked, left_join_na
+from granary.sources.literals import literal_table
 
 
 def violations(df: DataFrame, predicate: Column) -> DataFrame:
@@ -71,5 +72,5 @@ def uncovered(df: DataFrame, key: str, reference: DataFrame, *by: str, reference
 def remove_ids(df: DataFrame, column: str, ids: Sequence) -> DataFrame:
     """Drop rows with a listed id; rows without an id stay."""
     kind = df.schema[column].dataType.simpleString()
-    listed = df.sparkSession.createDataFrame([(i,) for i in ids], f"`{column}` {kind}")
+    listed = literal_table(df.sparkSession, [(i,) for i in ids], [(column, kind)])
     return df.join(F.broadcast(listed), on=column, how="left_anti")

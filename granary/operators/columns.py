@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.missing import ColumnOrName, as_col, is_in
+from granary.functions.text import replace_first
+from granary.sources.literals import literal_table
 
 
 def cols(
@@ -111,7 +113,7 @@ def recode(df: DataFrame, column: str, mapping: Mapping) -> DataFrame:
     can be broadcast whatever the data's size.
     """
     kind = df.schema[column].dataType.simpleString()
-    new = df.sparkSession.createDataFrame(list(mapping.items()), f"_old {kind}, _new {kind}")
+    new = literal_table(df.sparkSession, mapping.items(), [("_old", kind), ("_new", kind)])
     joined = df.join(F.broadcast(new), df[column] == new["_old"], "left")
     swapped = joined.withColumn(column, F.coalesce("_new", column))
     return swapped.select(*df.columns)
@@ -188,8 +190,6 @@ def split_suffix_type(
     every one is taken off once. Rows not meeting ``only`` keep their name and
     get ``otherwise``. ``fixed_name`` and ``fixed_type`` are listed exceptions.
     """
-    from granary.functions.text import replace_first
-
     name = F.col(column)
     kind = F.when(~only, F.lit(otherwise))
     for value, label in (fixed_type or {}).items():

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.operators.joins import anti_join
+from granary.sources.literals import literal_table
 
 
 def union_by_name(*dfs: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def value_difference(left: DataFrame, left_col: str, right: DataFrame, right_col
 
 def union_literals(df: DataFrame, column: str, values: Sequence) -> DataFrame:
     kind = df.schema[column].dataType.simpleString()
-    extra = df.sparkSession.createDataFrame([(v,) for v in values], f"`{column}` {kind}")
+    extra = literal_table(df.sparkSession, [(v,) for v in values], [(column, kind)])
     return df.select(column).union(extra).distinct()
 
 
