@@ -114,9 +114,9 @@ def jn_one_to_one(t):
 @query(
     "jn_fanout_check",
     """
-    select (select count(*) from orders) as n_before,
-           (select count(*) from orders left join customer on o_custkey = c_custkey) as n_after,
-           n_before = n_after as is_unchanged
+    select n_before, n_after, n_before = n_after as is_unchanged
+    from (select count(*) as n_before from orders),
+         (select count(*) as n_after from orders left join customer on o_custkey = c_custkey)
     """,
 )
 def jn_fanout_check(t):
