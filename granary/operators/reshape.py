@@ -33,8 +33,8 @@ def pivot_wider(
     """Rows to columns, in the order of ``levels``, with an aggregate and a default."""
     wide = df.groupBy(*ids).pivot(names, list(levels)).agg(agg(values))
     if fill is not None:
-        wide = wide.fillna(fill, subset=list(levels))
-    return wide.withColumnsRenamed({v: glue.format(name=v) for v in levels})
+        wide = wide.fillna(fill, subset=[str(v) for v in levels])
+    return wide.withColumnsRenamed({str(v): glue.format(name=v) for v in levels})
 
 
 def repeated_cells(df: DataFrame, ids: Sequence[str], names: str) -> DataFrame:
