@@ -211,10 +211,10 @@ def pip_place_reconcile(t):
     a as (select o_orderkey, c_name || ', ' || c_mktsegment || ', ' || n_name || ' ' || o_orderpriority as address, n_name as state_code,
           o_custkey, lon, lat, o_totalprice from orders join customer on o_custkey = c_custkey
           join nation on c_nationkey = n_nationkey join points using (o_orderkey, o_custkey)),
-    own as (select *, o_totalprice >= 50000 as has_own from a),
+    own as (select *, o_totalprice >= 50000 as has_own, bool_or(o_totalprice < 50000) over (partition by address) as is_asked from a),
     fixed as (
         select o_orderkey, state_code, address, has_own, case when has_own then 'hses' when o_custkey % 3 = 0 then 'osm' when o_custkey % 3 = 1 then 'arcgis' end as geocode_source,
-            case when has_own or o_custkey % 3 = 2 then 'unknown' when o_custkey % 3 = 0 then 'child care' else 'unknown' end as building_type,
+            case when is_asked and o_custkey % 3 = 0 then 'child care' else 'unknown' end as building_type,
             case when has_own then lon when o_custkey % 3 = 0 then 50.5e0 + o_custkey % 7 when o_custkey % 3 = 1 then 10.5e0 end as lon,
             case when has_own then lat when o_custkey % 3 = 0 then 80.5e0 when o_custkey % 3 = 1 then 60.5e0 end as lat
         from own),
@@ -226,7 +226,7 @@ def pip_place_reconcile(t):
     repaired as (
         select * exclude (tract_fips), coalesce(tract_fips, case when o_orderkey % 2 = 0 then 'NATION_3' end) as tract_fips from placed)
     select cast(o_orderkey as varchar) as location_id, state_code, geocode_source, building_type, tract_fips,
-        'N' || n_nationkey as nia_id, 'Very High' as hrcn_riskr
+        'N' || n_nationkey as nia_id, case when n_nationkey is not null then 'Very High' end as hrcn_riskr
     from repaired left join nation on tract_fips = n_name
     where tract_fips is not null or state_code = 'NATION_5'
     """,
@@ -629,7 +629,8 @@ def _income_sql(column: str) -> str:
 )
 def pip_survey(t):
     people = weighted(t).withColumn("poverty", F.floor("l_extendedprice") % 500)
-    estimates = poverty_estimates(people, DESIGN, ["l_suppkey", "l_linenumber"])
+    # group-sized; kept because two results are made of it
+    estimates = poverty_estimates(people, DESIGN, ["l_suppkey", "l_linenumber"]).cache()
     share = moe_shares(estimates, "population_estimate_moe_rel", {"share_over": 0.02})
     return estimates.select(
         "l_suppkey",

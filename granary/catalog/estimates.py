@@ -12,11 +12,12 @@ GROUPS = ["l_suppkey", "l_returnflag"]
 
 def weighted(t):
     """Line items with replicate weights near the base weight."""
-    seed = F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17
-    weights = [
-        (F.col("l_quantity") * (1 + ((seed + r * 7) % 11 - 5) / 100)).alias(f"repwt{r}") for r in range(1, N_REPS + 1)
-    ]
-    return t.lineitem.select(*t.lineitem.columns, *weights)
+    seed = ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17) % 11).cast("int")
+    # eleven different weights, of which each replicate takes one
+    steps = F.array(*[F.col("l_quantity") * (1 + (i - 5) / 100) for i in range(11)])
+    based = t.lineitem.withColumns({"_seed": seed, "_steps": steps})
+    weights = [F.get("_steps", (F.col("_seed") + r * 7 % 11) % 11).alias(f"repwt{r}") for r in range(1, N_REPS + 1)]
+    return based.select(*t.lineitem.columns, *weights)
 
 
 def total_sql(by: str, source: str = "lineitem", name: str = "estimate") -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.missing import paste
-from granary.operators.joins import CardinalityError, left_join_na
+from granary.operators.joins import left_join_na
 from granary.operators.windows import fill_down
 
 
@@ -25,16 +25,20 @@ def pivot_wider(
     ids: Sequence[str],
     names: str,
     values: str,
-    levels: Sequence[str],
-    agg: Callable[[str], Column] = F.sum,
+    levels: Sequence,
+    agg: Callable[[Column], Column] = F.sum,
     fill=None,
     glue: str = "{name}",
 ) -> DataFrame:
-    """Rows to columns, in the order of ``levels``, with an aggregate and a default."""
-    wide = df.groupBy(*ids).pivot(names, list(levels)).agg(agg(values))
+    """Rows to columns, in the order of ``levels``, with an aggregate and a default.
+
+    As the levels are known, each column is an aggregate over its own rows: one
+    exchange, partly aggregated before it.
+    """
+    cells = [agg(F.when(F.col(names) == level, F.col(values))) for level in levels]
     if fill is not None:
-        wide = wide.fillna(fill, subset=[str(v) for v in levels])
-    return wide.withColumnsRenamed({str(v): glue.format(name=v) for v in levels})
+        cells = [F.coalesce(c, F.lit(fill)) for c in cells]
+    return df.groupBy(*ids).agg(*[c.alias(glue.format(name=v)) for c, v in zip(cells, levels)])
 
 
 def repeated_cells(df: DataFrame, ids: Sequence[str], names: str) -> DataFrame:
@@ -46,13 +50,25 @@ def pivot_wider_unique(
     ids: Sequence[str],
     names: str,
     values: str,
-    levels: Sequence[str],
+    levels: Sequence,
     glue: str = "{name}",
 ) -> DataFrame:
-    """Rows to columns with one value per cell; a repeated cell is an error."""
-    if not repeated_cells(df, ids, names).isEmpty():
-        raise CardinalityError(f"more than one {values} for the same {[*ids, names]}")
-    return pivot_wider(df, ids, names, values, levels, agg=F.max, glue=glue)
+    """Rows to columns with one value per cell; a repeated cell fails the query.
+
+    Repeats are counted in the same aggregation; ``repeated_cells`` lists them.
+    """
+    counted = df.groupBy(*ids).agg(
+        *[F.max(F.when(F.col(names) == v, F.col(values))).alias(glue.format(name=v)) for v in levels],
+        *[F.count_if(F.col(names) == v).alias(f"_n_{v}") for v in levels],
+    )
+
+    def checked(v):
+        name = glue.format(name=v)
+        kind = counted.schema[name].dataType
+        failed = F.raise_error(F.lit(f"more than one {values} for {names} = {v} and the same {list(ids)}"))
+        return F.when(F.col(f"_n_{v}") <= 1, F.col(name)).otherwise(failed.cast(kind)).alias(name)
+
+    return counted.select(*ids, *[checked(v) for v in levels])
 
 
 def wrong_part_count(df: DataFrame, column: str, delimiter: str, n: int) -> DataFrame:

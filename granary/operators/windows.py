@@ -50,9 +50,14 @@ def number_rows(
     order: Sequence[str],
     name: str,
     max_group_rows: int = MAX_GROUP_ROWS,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Sequence number from 1 in each group. The order must leave no ties."""
-    if not has_large_group(df, part, max_group_rows):
+    """Sequence number from 1 in each group. The order must leave no ties.
+
+    ``sizes_from`` is a cheaper table whose groups are at least as large, to be
+    measured in place of ``df``.
+    """
+    if not has_large_group(df if sizes_from is None else sizes_from, part, max_group_rows):
         return df.withColumn(name, F.row_number().over(W.partitionBy(*part).orderBy(*ordering(order))))
     sliced = _sliced(df, part, order)
     before = (
@@ -75,17 +80,22 @@ def add_entity_id(
     order: Sequence[str],
     name: str = "entity_id",
     max_group_rows: int = MAX_GROUP_ROWS,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Id made of a key and the row's place among the rows of that key."""
-    numbered = number_rows(df, [key], order, "_nth", max_group_rows)
+    numbered = number_rows(df, [key], order, "_nth", max_group_rows, sizes_from)
     return numbered.withColumn(name, paste(key, "_nth", sep="-")).drop("_nth")
 
 
 def row_key(
-    df: DataFrame, order: Sequence[str], name: str = "pk", max_group_rows: int = MAX_GROUP_ROWS
+    df: DataFrame,
+    order: Sequence[str],
+    name: str = "pk",
+    max_group_rows: int = MAX_GROUP_ROWS,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Running number over the whole table, as text."""
-    numbered = number_rows(df, [], order, name, max_group_rows)
+    numbered = number_rows(df, [], order, name, max_group_rows, sizes_from)
     return numbered.withColumn(name, F.col(name).cast("string"))
 
 

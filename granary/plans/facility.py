@@ -105,9 +105,9 @@ def facility_master(
         **{c: "list:" for c in LICENSING},
         **{c: "sum" for c in slots},
     }
-    # rows of one address have no order of their own; texts and type give one
+    # rows of one address have no order of their own; type and texts give one
     sites = consolidate(wide, SITE_KEYS, rules, ["location_type", "location_name", "address_line2", *LICENSING])
-    numbered = add_entity_id(sites, "grant_id", SITE_KEYS[1:], "location_id", max_group_rows)
+    numbered = add_entity_id(sites, "grant_id", SITE_KEYS[1:], "location_id", max_group_rows, sizes_from=both)
     return numbered.withColumn("total_slots", row_sum(slots)).select(
         *SITE_KEYS[:4], "address_line2", *SITE_KEYS[4:], "lat", "lon", "location_id",
         "location_name", "location_type", *slots, "total_slots",
