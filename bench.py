@@ -47,7 +47,7 @@ def main():
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))  # after one run to warm up
     chosen = os.environ.get("BENCH_QUERIES")
     names = list(QUERIES) if chosen == "all" else chosen.split(",") if chosen else HEADLINE
     spark = (
@@ -65,12 +65,12 @@ def main():
     seconds = {}
     for name in names:
         took = []
-        for _ in range(runs + 1 if runs > 1 else 1):
+        for _ in range(runs + 1):
             start = time.perf_counter()
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             took.append(time.perf_counter() - start)
             spark.catalog.clearCache()
-        seconds[name] = round(statistics.median(took[1:] or took), 3)
+        seconds[name] = round(statistics.median(took[1:]), 3)
     print(
         json.dumps(
             {

@@ -45,6 +45,7 @@ from granary.plans.risk import (
     state_summary,
 )
 from granary.plans.sites import add_coordinates, add_tracts, mailing_address, map_export, risk_long
+from granary.session import spread
 from granary.sources.literals import literal_table
 
 EXTRA = ["NATION_0", "NATION_1", "NATION_2"]
@@ -54,7 +55,7 @@ EXTRA = ["NATION_0", "NATION_1", "NATION_2"]
 
 
 def _centers(t):
-    joined = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = spread(t.lineitem, "l_orderkey").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     kinds = {"A": "HS", "N": "EHS", "R": "AIAN HS"}
     kind = F.when(F.lit(False), "")
     for flag, name in kinds.items():
@@ -574,7 +575,7 @@ def pip_enrollment(t):
 
 @query("pip_topics")
 def pip_topics(t):
-    comments = t.documents.withColumn("is_long", F.col("n_chars") > 1000)
+    comments = spread(t.documents, "doc_id").withColumn("is_long", F.col("n_chars") > 1000)
     found = comment_topics(comments, "doc_id", "text", ["lang", "is_long"], 6, 1234, STOPWORDS, 5)
     by_lang = found["by_lang"].withColumnRenamed("lang", "grp")
     by_size = found["by_is_long"].select(F.col("is_long").cast("string").alias("grp"), "topic", "avg_gamma")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from granary.catalog.registry import query
 from granary.operators.survey import Design, margin_band, moe_shares, survey_total, two_step_threshold, with_moe
+from granary.session import spread
 
 N_REPS = 80
 DESIGN = Design("l_quantity", tuple(f"repwt{r}" for r in range(1, N_REPS + 1)))
@@ -15,7 +16,7 @@ def weighted(t):
     seed = ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17) % 11).cast("int")
     # eleven different weights, of which each replicate takes one
     steps = F.array(*[F.col("l_quantity") * (1 + (i - 5) / 100) for i in range(11)])
-    based = t.lineitem.withColumns({"_seed": seed, "_steps": steps})
+    based = spread(t.lineitem, "l_orderkey").withColumns({"_seed": seed, "_steps": steps})
     weights = [F.get("_steps", (F.col("_seed") + r * 7 % 11) % 11).alias(f"repwt{r}") for r in range(1, N_REPS + 1)]
     return based.select(*t.lineitem.columns, *weights)
 

@@ -63,11 +63,16 @@ def consolidate(
         "any": F.bool_or,
         "sum": lambda c: sum_r(c, na_rm=True),
     }
-    merged = [
-        (listed(c, rule[5:], order) if rule.startswith("list:") else plain[rule](c)).alias(c)
-        for c, rule in rules.items()
-    ]
-    return df.groupBy(*keys).agg(*merged)
+    lists = {c: rule[5:] for c, rule in rules.items() if rule.startswith("list:")}
+    merged = [plain[rule](c).alias(c) for c, rule in rules.items() if c not in lists]
+    if not lists:
+        return df.groupBy(*keys).agg(*merged)
+    # the rows of a group are sorted once for all its lists; NULL texts sort last
+    place = [e for i, c in enumerate(order) for e in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"o{i}"))]
+    row = F.struct(*place, *[F.col(c).alias(f"v_{c}") for c in lists])
+    grouped = df.groupBy(*keys).agg(*merged, F.sort_array(F.collect_list(row)).alias("_rows"))
+    joined = {c: F.array_join(F.col("_rows")[f"v_{c}"], sep) for c, sep in lists.items()}
+    return grouped.withColumns(joined).select(*keys, *rules)
 
 
 def null_counts(df: DataFrame, columns: Sequence[str], name: str = "{col}") -> DataFrame:

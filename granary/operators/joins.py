@@ -87,7 +87,7 @@ class CardinalityError(ValueError):
 
 
 def repeated_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
 
 def join_checked(

@@ -42,7 +42,7 @@ def pivot_wider(
 
 
 def repeated_cells(df: DataFrame, ids: Sequence[str], names: str) -> DataFrame:
-    return df.groupBy(*ids, names).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return df.groupBy(*ids, names).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
 
 def pivot_wider_unique(

@@ -53,6 +53,5 @@ def union_literals(df: DataFrame, column: str, values: Sequence) -> DataFrame:
 
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     """Groups with more than one row, on named or all columns."""
-    return (
-        df.groupBy(*(keys or df.columns)).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    )
+    counts = df.groupBy(*(keys or df.columns)).agg(F.count(F.lit(1)).alias("_size"))
+    return counts.where(F.col("_size") > 1).withColumnRenamed("_size", "n")

@@ -29,8 +29,8 @@ def ordering(order: Sequence[str]) -> list[Column]:
 
 
 def has_large_group(df: DataFrame, part: Sequence[str], limit: int) -> bool:
-    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
-    return not sizes.where(F.col("n") > limit).isEmpty()
+    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_size"))
+    return not sizes.where(F.col("_size") > limit).isEmpty()
 
 
 def _sliced(df: DataFrame, part: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -55,9 +55,9 @@ def number_rows(
     """Sequence number from 1 in each group. The order must leave no ties.
 
     ``sizes_from`` is a cheaper table whose groups are at least as large, to be
-    measured in place of ``df``.
+    measured in place of ``df``. One group holding everything is always sliced.
     """
-    if not has_large_group(df if sizes_from is None else sizes_from, part, max_group_rows):
+    if part and not has_large_group(df if sizes_from is None else sizes_from, part, max_group_rows):
         return df.withColumn(name, F.row_number().over(W.partitionBy(*part).orderBy(*ordering(order))))
     sliced = _sliced(df, part, order)
     before = (
@@ -87,15 +87,9 @@ def add_entity_id(
     return numbered.withColumn(name, paste(key, "_nth", sep="-")).drop("_nth")
 
 
-def row_key(
-    df: DataFrame,
-    order: Sequence[str],
-    name: str = "pk",
-    max_group_rows: int = MAX_GROUP_ROWS,
-    sizes_from: DataFrame | None = None,
-) -> DataFrame:
+def row_key(df: DataFrame, order: Sequence[str], name: str = "pk") -> DataFrame:
     """Running number over the whole table, as text."""
-    numbered = number_rows(df, [], order, name, max_group_rows, sizes_from)
+    numbered = number_rows(df, [], order, name)
     return numbered.withColumn(name, F.col(name).cast("string"))
 
 

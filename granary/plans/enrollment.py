@@ -11,7 +11,7 @@ from granary.functions import in_months_after, lookup, parse_date, to_number, ye
 from granary.operators.columns import across, cols
 from granary.operators.joins import left_join_na
 from granary.operators.reshape import tidy_multi_header
-from granary.operators.windows import MAX_GROUP_ROWS, row_key
+from granary.operators.windows import row_key
 
 # Grant types by program acronym.
 GRANT_TYPES = {
@@ -73,7 +73,6 @@ def attach_initiative(
     initiative: DataFrame,
     order: Sequence[str],
     months: int = 12,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Status and start of the initiative per report, and whether it was running."""
     members = initiative.select(
@@ -90,4 +89,4 @@ def attach_initiative(
             "is_fei": F.when(F.col("_member").isNull(), F.lit(False)).when(early, F.lit(False)).otherwise(F.lit(True)),
         }
     ).drop("_member")
-    return row_key(flagged, order, "pk", max_group_rows)
+    return row_key(flagged, order, "pk")

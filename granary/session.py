@@ -44,6 +44,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a table of few files over all cores, for work that is dear per row.
+
+    A file with one row group is read by one task. A table of many files already
+    fills the cluster and stays as it is, with no exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and fixes the partitioning."""
     context = df.sparkSession.sparkContext
