@@ -210,14 +210,15 @@ def pip_place_reconcile(t):
     f"""
     with {WITHIN_SQL},
     a as (select o_orderkey, c_name || ', ' || c_mktsegment || ', ' || n_name || ' ' || o_orderpriority as address, n_name as state_code,
-          o_custkey, lon, lat, o_totalprice from orders join customer on o_custkey = c_custkey
+          o_custkey, lon, lat, o_totalprice, o_orderstatus, c_mktsegment in ('BUILDING', 'MACHINERY') as in_osm,
+          c_mktsegment = 'FURNITURE' as in_arcgis from orders join customer on o_custkey = c_custkey
           join nation on c_nationkey = n_nationkey join points using (o_orderkey, o_custkey)),
     own as (select *, o_totalprice >= 50000 as has_own, bool_or(o_totalprice < 50000) over (partition by address) as is_asked from a),
     fixed as (
-        select o_orderkey, state_code, address, has_own, case when has_own then 'hses' when o_custkey % 3 = 0 then 'osm' when o_custkey % 3 = 1 then 'arcgis' end as geocode_source,
-            case when is_asked and o_custkey % 3 = 0 then 'child care' else 'unknown' end as building_type,
-            case when has_own then lon when o_custkey % 3 = 0 then 50.5e0 + o_custkey % 7 when o_custkey % 3 = 1 then 10.5e0 end as lon,
-            case when has_own then lat when o_custkey % 3 = 0 then 80.5e0 when o_custkey % 3 = 1 then 60.5e0 end as lat
+        select o_orderkey, o_orderstatus, state_code, address, has_own, case when has_own then 'hses' when in_osm then 'osm' when in_arcgis then 'arcgis' end as geocode_source,
+            case when is_asked and in_osm then 'child care' else 'unknown' end as building_type,
+            case when has_own then lon when in_osm then 50.5e0 + o_custkey % 7 when in_arcgis then 10.5e0 end as lon,
+            case when has_own then lat when in_osm then 80.5e0 when in_arcgis then 60.5e0 end as lat
         from own),
     hits2 as (
         select o_orderkey, tract_fips from fixed, sides
@@ -225,7 +226,7 @@ def pip_place_reconcile(t):
         group by o_orderkey, tract_fips having count(*) % 2 = 1),
     placed as (select f.*, tract_fips from fixed f left join hits2 h on f.o_orderkey = h.o_orderkey),
     repaired as (
-        select * exclude (tract_fips), coalesce(tract_fips, case when o_orderkey % 2 = 0 then 'NATION_3' end) as tract_fips from placed)
+        select * exclude (tract_fips), coalesce(tract_fips, case when o_orderstatus = 'F' then 'NATION_3' end) as tract_fips from placed)
     select cast(o_orderkey as varchar) as location_id, state_code, geocode_source, building_type, tract_fips,
         'N' || n_nationkey as nia_id, case when n_nationkey is not null then 'Very High' end as hrcn_riskr
     from repaired left join nation on tract_fips = n_name
@@ -249,11 +250,11 @@ def pip_site_enrich(t):
     )
 
     # address tables as two geocoding services would return them
-    def answers(share, lon, lat, kind):
+    def answers(segments, lon, lat, kind):
         addressed = (
             t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
             .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-            .where(F.col("o_custkey") % 3 == share)
+            .where(F.col("c_mktsegment").isin(segments))
         )
         named = addressed.withColumnsRenamed(
             {"c_name": "address_line1", "c_mktsegment": "city", "n_name": "state_code", "o_orderpriority": "zip"}
@@ -263,11 +264,11 @@ def pip_site_enrich(t):
         ).distinct()
 
     sources = [
-        ("osm", answers(0, F.col("o_custkey") % 7 + 50.5, F.lit(80.5), "child_care")),
-        ("arcgis", answers(1, F.lit(10.5), F.lit(60.5), "yes")),
+        ("osm", answers(["BUILDING", "MACHINERY"], F.col("o_custkey") % 7 + 50.5, F.lit(80.5), "child_care")),
+        ("arcgis", answers(["FURNITURE"], F.lit(10.5), F.lit(60.5), "yes")),
     ]
     placed = add_coordinates(located, sources)
-    fallback = t.orders.where("o_orderkey % 2 = 0").select(
+    fallback = t.orders.where("o_orderstatus = 'F'").select(
         F.col("o_orderkey").cast("string").alias("location_id"), F.lit("NATION_3").alias("tract_fips")
     )
     high = F.lit("Very High")

@@ -172,14 +172,20 @@ def share_within(df: DataFrame, n: str, *part: str, name: str = "pct") -> DataFr
     return joined.withColumn(name, F.col(n) / F.col("_total")).drop("_total")
 
 
-def rank_by(df: DataFrame, ranked: DataFrame, key: Sequence[str], order: Sequence[str],
-            part: Sequence[str] = (), name: str = "rank") -> DataFrame:
-    """Give rows the dense rank their key has in a summary table."""
-    if part:
-        window = W.partitionBy(*part).orderBy(*ordering(order))
-        ranks = ranked.withColumn(name, F.dense_rank().over(window))
-    else:
-        # distinct values numbered, so that ties share a rank
-        values = ranked.select(*[c.lstrip("-") for c in order]).distinct()
-        ranks = left_join_na(ranked, number_rows(values, [], order, name), values.columns)
-    return left_join_na(df, ranks.select(*part, *key, name), [*part, *key])
+def rank_by(
+    df: DataFrame,
+    ranked: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    part: Sequence[str] = (),
+    name: str = "rank",
+    max_group_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Give rows the dense rank their key has in a summary table.
+
+    The distinct values are numbered, so that ties share a rank.
+    """
+    by = [*part, *[c.lstrip("-") for c in order]]
+    values = number_rows(ranked.select(*by).distinct(), part, order, name, max_group_rows)
+    ranks = left_join_na(ranked.select(*part, *key, *by[len(part) :]), values, by)
+    return left_join_na(df, ranks.select(*part, *key, F.col(name).cast("int").alias(name)), [*part, *key])

@@ -43,8 +43,11 @@ def focus_states(by_risk: DataFrame, k: int = 5, extra: Sequence[str] = EMERGENC
 
 
 def grantee_concentration(by_risk: DataFrame, states: DataFrame, k: int = 10) -> DataFrame:
-    """Per focus state the grantees with most at-risk federal-interest sites."""
-    sites = semi_join(at_risk(by_risk).where("is_federal_interest_site"), states, "state_code")
+    """Per focus state the grantees with most at-risk federal-interest sites.
+
+    ``states`` are a few per hazard, as made by ``focus_states``.
+    """
+    sites = semi_join(at_risk(by_risk).where("is_federal_interest_site"), states, "state_code", bounded=True)
     counts = sites.groupBy("state_code", "grantee").agg(
         n_distinct_r("location_id").alias("n_locations_per_grantee")
     )
@@ -53,7 +56,7 @@ def grantee_concentration(by_risk: DataFrame, states: DataFrame, k: int = 10) ->
 
 def state_risk_summary(by_risk: DataFrame, states: DataFrame, na_rm: bool = True) -> DataFrame:
     """Per state and hazard: sites, federal interest, owned, grantees, grants."""
-    hazards = semi_join(at_risk(by_risk), states, "state_code").where("risk_type != 'Overall'")
+    hazards = semi_join(at_risk(by_risk), states, "state_code", bounded=True).where("risk_type != 'Overall'")
     return hazards.groupBy("state_code", "risk_type").agg(
         n_distinct_r("location_id").alias("total"),
         distinct_if(F.col("is_federal_interest_site"), "location_id", na_rm).alias("with_federal_interest"),
