@@ -333,7 +333,7 @@ def agg_stack_summaries(t):
 @query(
     "agg_histogram",
     """
-    select ceil(o_totalprice / 10000 - 0.5) * 10000 as bin, count(*) as n from orders group by 1
+    select cast(ceil(o_totalprice / 10000 - 0.5) as bigint) * 10000e0 as bin, count(*) as n from orders group by 1
     """,
 )
 def agg_histogram(t):

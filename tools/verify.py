@@ -1,6 +1,5 @@
 """Compare registered queries with their oracles: tools/verify.py [folder] [name-prefix ...]"""
 
-import math
 import os
 import sys
 import time
@@ -29,9 +28,8 @@ def session(cpus="8"):
 
 def cell(v):
     if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return 0.0 if v == 0 else v
+        # as text: NaN equals itself, and 0.0 differs from -0.0
+        return repr(v)
     if hasattr(v, "isoformat"):
         return v.isoformat()
     if isinstance(v, (list, tuple)):
