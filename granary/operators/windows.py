@@ -34,7 +34,7 @@ def has_large_group(df: DataFrame, part: Sequence[str], limit: int) -> bool:
 
 
 def _sliced(df: DataFrame, part: Sequence[str], order: Sequence[str]) -> DataFrame:
-    # the checkpoint fixes which slice a row is in, whatever is computed again
+    # the written table fixes which slice a row is in, whatever is computed again
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ordering(part) + ordering(order)
     return cut_lineage(df.repartitionByRange(n, *keys).withColumn("_slice", F.spark_partition_id()))
