@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import secrets
+from granary.llm import html_text, quality, secrets
 from granary.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,13 @@ def query(name: str, sql: str | None = None):
 @query("op8_secret_scan")
 def op8(spark, folder):
     return secrets.secret_digest(table(spark, folder, "documents"))
+
+
+@query("op9_html_text")
+def op9(spark, folder):
+    return html_text.extract(table(spark, folder, "pages"))
+
+
+@query("op10_quality")
+def op10(spark, folder):
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
