@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import html_text, quality, secrets
+from granary.llm import html_text, language, line_rules, quality, secrets
 from granary.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op3_line_rules", line_rules.ORACLE)
+def op3(spark, folder):
+    return line_rules.line_rules(table(spark, folder, "documents"))
+
+
+@query("op6_language")
+def op6(spark, folder):
+    return language.languages(table(spark, folder, "documents"))
+
+
 @query("op8_secret_scan")
 def op8(spark, folder):
     return secrets.secret_digest(table(spark, folder, "documents"))
