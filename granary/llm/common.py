@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,19 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict],
     return df.mapInArrow(run, schema)
 
 
+def bounded_sample(rows: DataFrame, group: str, key: str, size: int, seed: int, groups: int = 1000) -> DataFrame:
+    """At most ``size`` rows of each of the ``groups`` largest groups: those with the smallest hash of their key.
+
+    The counts of the groups give a bound on the hash, a little above what is needed, so only the few rows below
+    it meet for ranking, however large a group is.
+    """
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), group).limit(groups)
+    marked = rows.withColumn("_mark", F.xxhash64(F.col(key), F.lit(seed))).join(F.broadcast(counts), group)
+    near = marked.where(F.pmod("_mark", F.lit(1 << 40)) < (size + 8 * size**0.5 + 8) / F.col("_n") * float(1 << 40))
+    order = Window.partitionBy(group).orderBy(F.pmod("_mark", F.lit(1 << 40)), key)
+    return near.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= size).drop("_n", "_mark", "_at")
+
+
 class WordCodes(dict):
     """64-bit code of a word, hashed once while it stays in this table of bounded size."""
 

@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import crc_mod, map_batches
+from granary.llm.common import bounded_sample, crc_mod, map_batches
 
 BITS = 15
 DIM = 1 << BITS
@@ -107,11 +107,8 @@ def sample(docs: DataFrame, learn, id_col: str, text_col: str, lang_col: str, pe
     """Rows to learn from: (id, lang, counts), the same wherever the rows lie."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    top = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
-    order = Window.partitionBy("lang").orderBy("mark")
     # the texts stay behind: only ids are ranked
-    ids = rows.select("lang", "id", F.xxhash64("id", F.lit(seed)).alias("mark")).join(F.broadcast(top), "lang")
-    ids = ids.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_lang).select("id").distinct()
+    ids = bounded_sample(rows.select("lang", "id"), "lang", "id", per_lang, seed, max_langs).select("id").distinct()
     picked = rows.join(F.broadcast(ids), "id")
 
     def make():

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import html_text, language, line_rules, quality, secrets
+from granary.llm import html_text, language, line_rules, quality, secrets, substrings
 from granary.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def op6(spark, folder):
     return language.languages(table(spark, folder, "documents"))
 
 
+@query("op7_substring_dedup", substrings.ORACLE)
+def op7(spark, folder):
+    return substrings.substring_dedup(table(spark, folder, "documents"))
+
+
 @query("op8_secret_scan")
 def op8(spark, folder):
     return secrets.secret_digest(table(spark, folder, "documents"))
