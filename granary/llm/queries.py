@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import html_text, language, line_rules, near_dups, packing, quality, secrets, substrings
+from granary.llm import decontaminate, html_text, language, line_rules, near_dups, packing, quality, secrets, substrings
 from granary.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def op3(spark, folder):
     return line_rules.line_rules(table(spark, folder, "documents"))
 
 
+@query("op4_decontamination")
+def op4(spark, folder):
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op5_near_dups", near_dups.ORACLE)
 def op5(spark, folder):
     return near_dups.near_duplicates(table(spark, folder, "documents"), size=2)
