@@ -22,10 +22,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import WordCodes, map_batches, utf8, window_codes
+from granary.llm.common import WordCodes, map_batches, mix, utf8, window_codes
 from granary.session import cut_lineage
 
 WINDOW = 13
@@ -62,15 +63,21 @@ def _pack(bits: int, hashes, rest, ids, marks, pos) -> list[tuple]:
     return rows
 
 
+def _targets(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _by_target(bits: int, ids, marks, pos) -> list[tuple]:
+    """(target, id, mark, pos) of places on their way back, packed by a hash of their document."""
+    target = _targets(ids, bits)
+    order = np.argsort(target, kind="stable")
+    cuts = np.flatnonzero(np.diff(target[order])) + 1
+    return [(int(target[p[0]]), _delta(ids[p]), _delta(marks[p]), pos[p].astype(np.uint32).tobytes()) for p in (np.split(order, cuts) if len(order) else [])]
+
+
 def _own(bits: int, ids, marks, pos) -> list[tuple]:
-    """Rows for places already settled, one per document; their negative bucket passes through."""
-    order = np.lexsort((marks, ids))
-    cuts = np.flatnonzero((np.diff(ids[order]) != 0) | (np.diff(marks[order]) != 0)) + 1
-    rows = []
-    for part in np.split(order, cuts) if len(order) else []:
-        one = part[:1]
-        rows.append((-1 - int(ids[one[0]]) % (1 << bits), b"", b"", ids[one].tobytes(), marks[one].tobytes(), pos[part].astype(np.uint32).tobytes()))
-    return rows
+    """Rows for places already settled; their negative bucket passes through."""
+    return [(-1 - t, b"", b"", *rest) for t, *rest in _by_target(bits, ids, marks, pos)]
 
 
 def _as_columns(rows: list[tuple]) -> dict | None:
@@ -90,29 +97,34 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _settle(packed: DataFrame, rule) -> DataFrame:
-    """(id, mark, pos) of the places that ``rule`` picks from each bucket, with those settled before."""
-
-    def run(table: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if table["bucket"][0].as_py() < 0:
-            for i, m, p in zip(*(table[c].to_pylist() for c in ("id", "mark", "pos"))):
-                out.append((np.frombuffer(i, np.int64)[0], np.frombuffer(m, np.int64)[0], p))
-        else:
-            read = lambda c, t: [np.frombuffer(x, t) for x in table[c].to_pylist()]
-            hashes, pos = np.concatenate(read("hash", np.uint64)), np.concatenate(read("pos", np.uint32))
-            rest = np.concatenate([np.zeros(0, np.uint32), *read("rest", np.uint32)])
-            ids, marks = (np.concatenate([np.cumsum(x) for x in read(c, np.int64)]) for c in ("id", "mark"))
-            picked = rule(hashes, rest, ids, marks)
+def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, marks and positions of packed rows."""
+    ids, marks = (np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in table[c].to_pylist()]) for c in ("id", "mark"))
+    return ids, marks, np.concatenate([np.frombuffer(x, np.uint32) for x in table["pos"].to_pylist()])
+
+
+def _settle(packed: DataFrame, rule, bits: int) -> DataFrame:
+    """(id, mark, at): for each document the packed places that ``rule`` picks in the buckets, or settled before."""
+
+    def pick(table: pa.Table) -> pa.Table:
+        ids, marks, pos = _unpack(table)
+        if table["bucket"][0].as_py() >= 0:
+            join = lambda c, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in table[c].to_pylist())])
+            picked = rule(join("hash", np.uint64), join("rest", np.uint32), ids, marks)
             ids, marks, pos = ids[picked], marks[picked], pos[picked]
-            order = np.lexsort((marks, ids))
-            starts = _starts(ids[order], marks[order])
-            for part in np.split(order, starts[1:]) if len(order) else []:
-                out.append((ids[part[0]], marks[part[0]], pos[part].tobytes()))
-        ids, marks, pos = zip(*out) if out else ((), (), ())
-        return pa.table({"id": pa.array(ids, pa.int64()), "mark": pa.array(marks, pa.int64()), "pos": pa.array(pos, pa.binary())})
+        rows = _by_target(bits, ids, marks, pos)
+        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("target", pa.int64()), ("id", pa.binary()), ("mark", pa.binary()), ("pos", pa.binary())))})
+
+    def gather(table: pa.Table) -> pa.Table:
+        ids, marks, pos = _unpack(table)
+        order = np.lexsort((marks, ids))
+        starts = _starts(ids[order], marks[order])
+        parts = np.split(order, starts[1:]) if len(order) else []
+        first = order[starts]
+        return pa.table({"id": ids[first], "mark": marks[first], "at": pa.array([pos[p].tobytes() for p in parts], pa.binary())})
 
-    return packed.groupBy("bucket").applyInArrow(run, "id long, mark long, pos binary")
+    back = packed.groupBy("bucket").applyInArrow(pick, "target long, id binary, mark binary, pos binary")
+    return back.groupBy("target").applyInArrow(gather, "id long, mark long, at binary")
 
 
 def _shared(hashes, rest, ids, marks) -> np.ndarray:
@@ -165,19 +177,18 @@ def _run_rows(docs: DataFrame, bits: int) -> DataFrame:
     """Runs of 13 words that hold a shared anchor; ``at`` has the packed positions of a document's anchors."""
 
     def make():
-        words = WordCodes()
+        words, unzip = WordCodes(), zstandard.ZstdDecompressor()
 
         def run(cols):
-            codes, doc, pos, lens = _flat(cols, words)
+            codes, doc, pos, lens = _flat({"text": pa.array([unzip.decompress(t) for t in cols["text"].to_pylist()], pa.binary())}, words)
             if not len(codes):
                 return None
             begin = np.cumsum(lens) - lens
             near = np.zeros(len(codes) + 1, np.int32)
             for i, at in enumerate(cols["at"].to_pylist()):
-                for packed in at:
-                    p = np.frombuffer(packed, np.uint32).astype(np.int64)
-                    np.add.at(near, begin[i] + np.maximum(p - (PERIOD - 1), 0), 1)
-                    np.add.at(near, np.minimum(begin[i] + p + 1, len(codes)), -1)
+                p = np.frombuffer(at, np.uint32).astype(np.int64)
+                np.add.at(near, begin[i] + np.maximum(p - (PERIOD - 1), 0), 1)
+                np.add.at(near, np.minimum(begin[i] + p + 1, len(codes)), -1)
             hashes, rest = window_codes(codes, WINDOW), (window_codes(codes, WINDOW, seed=1) >> np.uint64(32)).astype(np.uint32)
             n = len(hashes)
             take = np.flatnonzero((np.cumsum(near)[:n] > 0) & (pos[:n] + WINDOW <= lens[doc[:n]]))
@@ -199,15 +210,16 @@ def _cut(docs: DataFrame) -> DataFrame:
     """Words left of documents with marked runs: (id, mark, n_removed, kept_sha256, kept)."""
 
     def make():
+        unzip = zstandard.ZstdDecompressor()
+
         def run(cols):
             removed, kept = [], []
             for text, at in zip(cols["text"].to_pylist(), cols["at"].to_pylist()):
-                words = text.split()
+                words = unzip.decompress(text).split()
                 gone = np.zeros(len(words) + 1, np.int32)
-                for packed in at:
-                    p = np.frombuffer(packed, np.uint32).astype(np.int64)
-                    np.add.at(gone, p, 1)
-                    np.add.at(gone, p + WINDOW, -1)
+                p = np.frombuffer(at, np.uint32).astype(np.int64)
+                np.add.at(gone, p, 1)
+                np.add.at(gone, p + WINDOW, -1)
                 gone = np.cumsum(gone)[:-1] > 0
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]))
@@ -218,6 +230,20 @@ def _cut(docs: DataFrame) -> DataFrame:
     return map_batches(docs, "id long, mark long, n_removed long, kept_sha256 string, kept binary", make)
 
 
+def _zipped(docs: DataFrame) -> DataFrame:
+    """The same rows, texts compressed for the way."""
+
+    def make():
+        zipper = zstandard.ZstdCompressor()
+
+        def run(cols):
+            return {"id": cols["id"], "mark": cols["mark"], "text": [zipper.compress(t) for t in cols["text"].to_pylist()]}
+
+        return run
+
+    return map_batches(docs, "id long, mark long, text binary", make)
+
+
 def _bits(words: int, share: float) -> int:
     return max(0, int(np.ceil(np.log2(max(1.0, words * share / BUCKET_ENTRIES)))))
 
@@ -239,12 +265,17 @@ def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = cut_lineage(map_batches(picked, "id long, mark long, n_words long, all_sha256 string", make))
     words = base.agg(F.sum("n_words")).first()[0] or 0
     real = picked.where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    shared = _settle(_anchor_rows(real, _bits(words, len(COVER) / PERIOD)), _shared)
-    lists = shared.groupBy("id", "mark").agg(F.collect_list("pos").alias("at"))
-    touched = cut_lineage(real.join(lists, ["id", "mark"]))
-    runs = _settle(_run_rows(touched, _bits(words, 1 / 8)), _later)
-    places = runs.groupBy("id", "mark").agg(F.collect_list("pos").alias("at"))
-    cut = _cut(touched.drop("at").join(places, ["id", "mark"]))
+    # an exact copy of a document of a smaller id is removed whole; its runs need not travel
+    same = base.where((F.col("n_words") >= WINDOW) & F.col("id").isNotNull())
+    first = same.groupBy("all_sha256").agg(F.min("id").alias("first"))
+    copies = same.join(first, "all_sha256").where(F.col("id") > F.col("first")).select("id", "mark", "n_words").distinct()
+    bits = _bits(words, len(COVER) / PERIOD)
+    shared = _settle(_anchor_rows(real, bits), _shared, bits).join(copies.select("id", "mark"), ["id", "mark"], "left_anti")
+    touched = cut_lineage(_zipped(real).join(shared, ["id", "mark"]))
+    bits = _bits(words, 1 / 8)
+    cut = _cut(touched.drop("at").join(_settle(_run_rows(touched, bits), _later, bits), ["id", "mark"]))
+    whole = copies.select("id", "mark", F.col("n_words").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(b"").alias("kept"))
+    cut = cut.union(whole)
     return base, cut
 
 
