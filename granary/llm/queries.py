@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import decontaminate, html_text, language, line_rules, near_dups, packing, quality, secrets, substrings
+from granary.llm import decontaminate, html_text, language, line_rules, lm, near_dups, packing, quality, secrets, substrings
 from granary.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_lm_scores")
+def op1(spark, folder):
+    return lm.scores(table(spark, folder, "documents"))
+
+
 @query("op2_packing")
 def op2(spark, folder):
     return packing.packed(table(spark, folder, "documents"))
