@@ -7,9 +7,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.session import tune
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings of this package: whole texts travel to Python, so batches have few rows."""
+    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return spark
+
 
 def words(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes: just what ``bytes.split`` cuts at."""

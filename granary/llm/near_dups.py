@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import WordCodes, map_batches, mix, utf8, window_codes
@@ -290,6 +290,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, limit: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each group: that of the smallest id.
+
+    Of rows with the same id one stays (the smallest text); rows without id all stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, size, limit)
+    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last()))
+    one = named.withColumn("_turn", turn).where(F.col("_turn") == 1).drop("_turn")
+    return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def _with_roots(real: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """(member, component) of every document in a class: the root of its class's representative."""
     labels = classes.join(roots, F.col("rep") == F.col("node"), "left").select("code", F.coalesce("root", "rep").alias("component"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import decontaminate, html_text, language, line_rules, lm, near_dups, packing, quality, secrets, substrings
-from granary.session import tune
+from granary.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,8 +20,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def query(name: str, sql: str | None = None):
     def register(fn):
         def run(spark, folder):
-            tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-            return fn(spark, folder)
+            return fn(prepare(spark), folder)
 
         QUERIES[name] = run
         if sql is not None:
