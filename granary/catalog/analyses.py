@@ -45,7 +45,6 @@ from granary.plans.risk import (
     state_summary,
 )
 from granary.plans.sites import add_coordinates, add_tracts, mailing_address, map_export, risk_long
-from granary.session import spread
 from granary.sources.literals import literal_table
 
 EXTRA = ["NATION_0", "NATION_1", "NATION_2"]
@@ -55,7 +54,7 @@ EXTRA = ["NATION_0", "NATION_1", "NATION_2"]
 
 
 def _centers(t):
-    joined = spread(t.lineitem, "l_orderkey").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     kinds = {"A": "HS", "N": "EHS", "R": "AIAN HS"}
     kind = F.when(F.lit(False), "")
     for flag, name in kinds.items():
@@ -85,6 +84,7 @@ def _centers(t):
             F.lit(None).cast("string").alias("state_license_comments"),
             F.when(F.col("l_linenumber") == 1, "No").alias("qris_status"),
             F.when(F.col("l_linenumber") == 7, F.lit("note")).alias("qris_comments"),
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_order"),
         )
     )
 
@@ -107,6 +107,7 @@ def _facilities(t, centers):
         F.lit("No").alias("is_federal_interest_site"),
         F.lit("Yes").alias("is_owned_by_program"),
         F.lit(None).cast("string").alias("is_child_care_partner_site"),
+        F.col("o_orderkey").alias("row_order"),
     )
     return clean_facilities(raw, centers)
 
@@ -126,31 +127,34 @@ with c as (
         null::boolean as child,
         case l_linenumber when 1 then 'State-licensed' when 2 then 'Exempt' else 'Unknown' end as license,
         case l_linenumber when 1 then 'Does not participate' else 'Unknown' end as qris,
-        case when l_linenumber = 7 then 'note' end as qris_comments, 'center' as location_type
+        case when l_linenumber = 7 then 'note' end as qris_comments, 'center' as location_type,
+        0 as src, l_orderkey * 10 + l_linenumber as ord
     from lineitem join orders on l_orderkey = o_orderkey
     union all
-    select * from (select distinct cast(o_custkey as varchar), 'Grantee ' || o_custkey, o_orderpriority, 'hs', null::double, 'Office',
+    select * from (select cast(o_custkey as varchar), 'Grantee ' || o_custkey, o_orderpriority, 'hs', null::double, 'Office',
         (o_orderkey % 20) || ' Main St', null, o_orderstatus, (o_custkey % 10)::varchar, null::double, 'Verified',
-        false, true, true, null, null, null, 'administrative facility' from orders)
+        false, true, true, null, null, null, 'administrative facility', 1, min(o_orderkey) from orders group by all)
 ),
 wide as (
     select grant_id, grantee, program, location_name, address_line1, address_line2, state_code, county, lat, status, fed,
-        owned, child, license, qris, qris_comments, location_type,
+        owned, child, license, qris, qris_comments, location_type, src, min(ord) as ord,
         coalesce(sum(total_slots) filter (program_type = 'aian_hs'), 0) as aian_hs_slots,
         coalesce(sum(total_slots) filter (program_type = 'ehs'), 0) as ehs_slots,
         coalesce(sum(total_slots) filter (program_type = 'hs'), 0) as hs_slots
-    from c group by all
+    from c group by grant_id, grantee, program, location_name, address_line1, address_line2, state_code, county, lat, status, fed,
+        owned, child, license, qris, qris_comments, location_type, src
 ),
 sites as (
     select grant_id, grantee, program, address_line1, state_code, county,
-        coalesce(string_agg(address_line2, ' '), '') as address_line2,
-        coalesce(string_agg(location_name, ' / ' order by location_type, location_name), '') as location_name,
-        coalesce(string_agg(location_type, ' & ' order by location_type), '') as location_type,
+        coalesce(string_agg(address_line2, ' ' order by src, ord), '') as address_line2,
+        coalesce(string_agg(location_name, ' / ' order by src, ord), '') as location_name,
+        coalesce(string_agg(location_type, ' & ' order by src, ord), '') as location_type,
+        'Town' as city, '00001' as zip, null::varchar as zip4, null::double as lon, '' as state_license_comments,
         max(lat) as lat, min(status) as data_grantee_verification_status, bool_or(fed) as is_federal_interest_site,
         bool_or(owned) as is_owned_by_program, bool_or(child) as is_child_care_partner_site,
-        length(coalesce(string_agg(license, ''), '')) as license_length,
-        length(coalesce(string_agg(qris, ''), '')) as qris_length,
-        coalesce(string_agg(qris_comments, ''), '') as qris_comments,
+        coalesce(string_agg(license, '' order by src, ord), '') as state_license_status,
+        coalesce(string_agg(qris, '' order by src, ord), '') as qris_status,
+        coalesce(string_agg(qris_comments, '' order by src, ord), '') as qris_comments,
         sum(aian_hs_slots) as aian_hs_slots, sum(ehs_slots) as ehs_slots, sum(hs_slots) as hs_slots
     from wide group by 1, 2, 3, 4, 5, 6
 )
@@ -164,11 +168,7 @@ from sites
 @query("pip_facility_master", MASTER_SQL)
 def pip_facility_master(t):
     centers = _centers(t)
-    master = facility_master(centers, _facilities(t, centers), ["aian_hs", "ehs", "hs"])
-    lengths = {"license_length": F.length("state_license_status"), "qris_length": F.length("qris_status")}
-    return master.withColumns(lengths).drop(
-        "city", "zip", "zip4", "lon", "state_license_status", "state_license_comments", "qris_status"
-    )
+    return facility_master(centers, _facilities(t, centers), ["aian_hs", "ehs", "hs"])
 
 
 @query(
@@ -230,7 +230,6 @@ def pip_place_reconcile(t):
     select cast(o_orderkey as varchar) as location_id, state_code, geocode_source, building_type, tract_fips,
         'N' || n_nationkey as nia_id, case when n_nationkey is not null then 'Very High' end as hrcn_riskr
     from repaired left join nation on tract_fips = n_name
-    where tract_fips is not null or state_code = 'NATION_5'
     """,
 )
 def pip_site_enrich(t):
@@ -277,7 +276,7 @@ def pip_site_enrich(t):
         F.concat(F.lit("N"), "n_nationkey").alias("nia_id"),
         *[high.alias(c) for c in ("risk_ratng", "hrcn_riskr", "trnd_riskr", "wfir_riskr")],
     )
-    done = add_tracts(placed, polygon_table(t), fallback, hazards, keep_without="NATION_5", cell=20.0)
+    done = add_tracts(placed, polygon_table(t), fallback, hazards, cell=20.0)
     return done.select(
         "location_id", "state_code", "geocode_source", "building_type", "tract_fips", "nia_id", "hrcn_riskr"
     )
@@ -576,7 +575,7 @@ def pip_enrollment(t):
 
 @query("pip_topics")
 def pip_topics(t):
-    comments = spread(t.documents, "doc_id").withColumn("is_long", F.col("n_chars") > 1000)
+    comments = t.documents.withColumn("is_long", F.col("n_chars") > 1000)
     found = comment_topics(comments, "doc_id", "text", ["lang", "is_long"], 6, 1234, STOPWORDS, 5)
     by_lang = found["by_lang"].withColumnRenamed("lang", "grp")
     by_size = found["by_is_long"].select(F.col("is_long").cast("string").alias("grp"), "topic", "avg_gamma")

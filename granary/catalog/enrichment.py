@@ -15,7 +15,7 @@ from granary.operators.checks import (
 )
 from granary.operators.enrich import cascade_lookup, pending_keys, repair_unmatched
 from granary.operators.geometry import area_class, to_wgs84, within_join
-from granary.operators.joins import left_join_na
+from granary.operators.joins import fanout_check, left_join_na
 from granary.operators.linkage import apply_threshold, link
 
 
@@ -55,20 +55,29 @@ def enr_cascade(t):
     with c as (select c_custkey, c_mktsegment, case when c_acctbal > 3000 then c_nationkey end as nation from customer),
     fixed as (
         select c_custkey, c_mktsegment, coalesce(nation, s_nationkey) as nation from c
-        left join supplier on c_custkey = s_suppkey
-        where coalesce(nation, s_nationkey) is not null or c_mktsegment = 'BUILDING')
+        left join supplier on c_custkey = s_suppkey)
     select c_custkey, c_mktsegment, nation, n_name from fixed left join nation n on fixed.nation = n_nationkey
     """,
 )
 def enr_repair(t):
+    return _repaired(t)[1]
+
+
+@query(
+    "enr_repair_count",
+    "select count(*) as n_before, count(*) as n_after, true as is_unchanged from customer",
+)
+def enr_repair_count(t):
+    return fanout_check(*_repaired(t))
+
+
+def _repaired(t):
     customers = t.customer.select(
         "c_custkey", "c_mktsegment", F.when(F.col("c_acctbal") > 3000, F.col("c_nationkey")).alias("nation")
     )
     fallback = t.supplier.select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("nation"))
     names = t.nation.select(F.col("n_nationkey").alias("nation"), "n_name")
-    return repair_unmatched(
-        customers, "c_custkey", "nation", fallback, names, F.col("c_mktsegment") == "BUILDING"
-    )
+    return customers, repair_unmatched(customers, "c_custkey", "nation", fallback, names)
 
 
 @query(

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.operators.joins import left_join_na
-from granary.operators.sets import union_by_name
 
 
 def pending_keys(df: DataFrame, key: str, missing: Column) -> DataFrame:
@@ -54,18 +53,11 @@ def cascade_lookup(
     return result.select(*df.columns, *[c.alias(v) for v, c in picked.items()], tag.alias(source_name))
 
 
-def repair_unmatched(
-    df: DataFrame, key: str, value: str, fallback: DataFrame, attributes: DataFrame, keep: Column | None = None
-) -> DataFrame:
+def repair_unmatched(df: DataFrame, key: str, value: str, fallback: DataFrame, attributes: DataFrame) -> DataFrame:
     """Fill a missing value from a second source, then attach what hangs on it.
 
-    Rows the fallback cannot help are dropped unless ``keep`` holds for them.
+    Every row stays, also one that no source can help; ``fanout_check`` shows that their number is unchanged.
     """
-    matched = df.where(F.col(value).isNotNull())
-    unmatched = df.where(F.col(value).isNull())
-    found = left_join_na(unmatched.drop(value), fallback.select(key, value), key)
-    if keep is not None:
-        found = found.where(F.col(value).isNotNull() | F.coalesce(keep, F.lit(False)))
-    else:
-        found = found.where(F.col(value).isNotNull())
-    return left_join_na(union_by_name(matched, found), attributes, value)
+    answers = one_per_key(fallback, key, [value]).withColumnRenamed(value, "_answer")
+    filled = left_join_na(df, answers, key).withColumn(value, F.coalesce(value, "_answer")).drop("_answer")
+    return left_join_na(filled, attributes, value)

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +44,6 @@ def left_join_na(
     return joined.select("l.*", *[F.col(f"r.`{c}`") for c in extra])
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Keep a table and, if it turns out to have few rows, mark it for broadcast.
-
-    For group-level tables about to meet the rows they were made from: without
-    this, the rows would be exchanged before the small side's size is known.
-    """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
-
-
 def natural_left_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return left_join_na(left, right, [c for c in left.columns if c in right.columns])
 
@@ -83,16 +72,14 @@ def anti_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
     return _membership(left, right, on, "left_anti")
 
 
-def semi_join(left: DataFrame, right: DataFrame, on, bounded: bool = False) -> DataFrame:
-    """Left rows with a partner. ``bounded``: the right side's size is limited by
-    how it is made (a top-k of fixed categories), so it may be broadcast."""
-    return _membership(left, right, on, "left_semi", bounded)
+def semi_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
+    """Left rows with a partner; a missing key finds a missing key."""
+    return _membership(left, right, on, "left_semi")
 
 
-def _membership(left, right, on, how, bounded=False):
+def _membership(left, right, on, how):
     pairs = _key_pairs(on)
     keys = right.select(*[F.col(f"`{b}`") for _, b in pairs]).distinct()
-    keys = F.broadcast(keys) if bounded else keys
     return left.alias("l").join(keys.alias("r"), _condition(pairs), how)
 
 

@@ -29,16 +29,17 @@ def pivot_wider(
     agg: Callable[[Column], Column] = F.sum,
     fill=None,
     glue: str = "{name}",
+    also: Sequence[Column] = (),
 ) -> DataFrame:
     """Rows to columns, in the order of ``levels``, with an aggregate and a default.
 
-    As the levels are known, each column is an aggregate over its own rows: one
+    ``also`` are further aggregates of the same groups. As the levels are known, each column is an aggregate over its own rows: one
     exchange, partly aggregated before it.
     """
     cells = [agg(F.when(F.col(names) == level, F.col(values))) for level in levels]
     if fill is not None:
         cells = [F.coalesce(c, F.lit(fill)) for c in cells]
-    return df.groupBy(*ids).agg(*[c.alias(glue.format(name=v)) for c, v in zip(cells, levels)])
+    return df.groupBy(*ids).agg(*[c.alias(glue.format(name=v)) for c, v in zip(cells, levels)], *also)
 
 
 def repeated_cells(df: DataFrame, ids: Sequence[str], names: str) -> DataFrame:

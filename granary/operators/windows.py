@@ -58,7 +58,8 @@ def number_rows(
     measured in place of ``df``. One group holding everything is always sliced.
     """
     if part and not has_large_group(df if sizes_from is None else sizes_from, part, max_group_rows):
-        return df.withColumn(name, F.row_number().over(W.partitionBy(*part).orderBy(*ordering(order))))
+        place = F.row_number().over(W.partitionBy(*part).orderBy(*ordering(order)))
+        return df.withColumn(name, place.cast("long"))
     sliced = _sliced(df, part, order)
     before = (
         sliced.groupBy(*part, "_slice")
@@ -157,7 +158,13 @@ def top_k_ties(df: DataFrame, part: Sequence[str], order: str, k: int) -> DataFr
 def first_k_by_column(
     df: DataFrame, part: Sequence[str], order: Sequence[str], k: str, at_most: int
 ) -> DataFrame:
-    """First k rows per group, k read from a column and never above ``at_most``."""
+    """First k rows per group, k read from a column.
+
+    ``at_most`` is what k cannot exceed: with it no task sends more rows of a group.
+    A larger k is an error, never a shorter result.
+    """
+    k_checked = F.when(F.col(k) > at_most, F.raise_error(F.lit(f"{k} is above {at_most}"))).otherwise(F.col(k))
+    df = df.withColumn(k, k_checked.cast(df.schema[k].dataType))
     window = W.partitionBy(*part).orderBy(*ordering(order))
     ranked = df.withColumn("_r", F.row_number().over(window)).where(F.col("_r") <= at_most)
     return ranked.where(F.col("_r") <= F.col(k)).drop("_r")

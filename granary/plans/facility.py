@@ -35,6 +35,8 @@ QRIS_LABELS = {
     "QRIS is not yet available": "QRIS is not yet available",
 }
 
+ROW_ORDER = "row_order"
+
 # Program types of the enrollment system, in column order.
 PROGRAM_TYPES = ["aian_ehs", "aian_hs", "ehs", "hs", "migrant_ehs", "migrant_hs"]
 
@@ -76,7 +78,11 @@ def clean_facilities(raw: DataFrame, centers: DataFrame) -> DataFrame:
             "location_type": F.lit("administrative facility"),
         }
     )
-    return align(named, centers).distinct()
+    aligned = align(named, centers)
+    if ROW_ORDER not in aligned.columns:
+        return aligned.distinct()
+    # of equal rows the first one stays
+    return aligned.groupBy(*[c for c in aligned.columns if c != ROW_ORDER]).agg(F.min(ROW_ORDER).alias(ROW_ORDER)).select(*aligned.columns)
 
 
 def facility_master(
@@ -85,13 +91,22 @@ def facility_master(
     program_types: Sequence[str] = PROGRAM_TYPES,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """One row per grant, program and address, with slots per program type."""
-    both = union_by_name(centers, facilities).withColumn(
+    """One row per grant, program and address, with slots per program type.
+
+    Texts of an address are joined in the order of the sources: centers before
+    facilities, and in each by its ``row_order`` column, if it has one.
+    """
+    placed = [
+        df.withColumn("_place", F.struct(F.lit(i).alias("source"), (F.col(ROW_ORDER) if ROW_ORDER in df.columns else F.lit(0)).cast("long").alias("row"))).drop(ROW_ORDER)
+        for i, df in enumerate((centers, facilities))
+    ]
+    both = union_by_name(*placed).withColumn(
         "program_type", replace_first(F.lower("program_type"), " ", "_")
     )
-    ids = [c for c in both.columns if c not in ("program_type", "total_slots")]
+    ids = [c for c in both.columns if c not in ("program_type", "total_slots", "_place")]
+    first = [F.min("_place").alias("_place")]
     wide = pivot_wider(
-        both, ids, "program_type", "total_slots", program_types, F.sum, 0.0, "{name}_slots"
+        both, ids, "program_type", "total_slots", program_types, F.sum, 0.0, "{name}_slots", first
     )
     slots = cols(wide, ends_with="_slots")
     rules = {
@@ -105,8 +120,8 @@ def facility_master(
         **{c: "list:" for c in LICENSING},
         **{c: "sum" for c in slots},
     }
-    # rows of one address have no order of their own; type and texts give one
-    sites = consolidate(wide, SITE_KEYS, rules, ["location_type", "location_name", "address_line2", *LICENSING])
+    # rows without an order of their own go by their texts
+    sites = consolidate(wide, SITE_KEYS, rules, ["_place", "location_name", "address_line2", *LICENSING])
     numbered = add_entity_id(sites, "grant_id", SITE_KEYS[1:], "location_id", max_group_rows, sizes_from=both)
     return numbered.withColumn("total_slots", row_sum(slots)).select(
         *SITE_KEYS[:4], "address_line2", *SITE_KEYS[4:], "lat", "lon", "location_id",

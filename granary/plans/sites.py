@@ -76,17 +76,12 @@ def add_coordinates(sites: DataFrame, sources: Sequence[tuple[str, DataFrame]],
 
 
 def add_tracts(
-    sites: DataFrame, polygons: DataFrame, fallback: DataFrame, hazards: DataFrame, keep_without: str = "PW", cell: float | None = None
+    sites: DataFrame, polygons: DataFrame, fallback: DataFrame, hazards: DataFrame, cell: float | None = None
 ) -> DataFrame:
-    """Tract by location, else by the fallback table; then the tract's hazards.
-
-    Sites found nowhere are dropped unless their state is ``keep_without``.
-    """
+    """Tract by location, else by the fallback table; then the tract's hazards. Every site stays."""
     placed = within_join(sites, polygons, "tract_fips", "lon", "lat", cell)
     ratings = one_per_key(hazards, "tract_fips", ["nia_id", *RATINGS])
-    return repair_unmatched(
-        placed, "location_id", "tract_fips", fallback, ratings, F.col("state_code") == keep_without
-    )
+    return repair_unmatched(placed, "location_id", "tract_fips", fallback, ratings)
 
 
 def risk_long(sites: DataFrame, ratings: Sequence[str] = RATINGS) -> DataFrame:

@@ -63,6 +63,8 @@ def test_first_k_by_column(skewed):
     sized = skewed.withColumn("k_rows", F.col("k").cast("long"))
     got = windows.first_k_by_column(sized, ["k"], ["o"], "k_rows", at_most=100).groupBy("k").count().collect()
     assert {r.k: r["count"] for r in got} == {k: k for k in range(1, 7)}
+    with pytest.raises(Exception, match="is above 2"):
+        windows.first_k_by_column(sized, ["k"], ["o"], "k_rows", at_most=2).collect()
 
 
 @pytest.mark.parametrize("accuracy", [20, 10_000])
@@ -311,12 +313,12 @@ def test_cascade_takes_all_values_from_the_first_source_that_answers(frame):
     assert sorted(r[:] for r in got.collect()) == [("a", 1.0, 2.0, "osm"), ("b", 5.0, None, "arcgis"), ("c", None, None, None)]
 
 
-def test_repair_keeps_only_what_it_should(frame):
+def test_repair_keeps_every_row(frame):
     df = frame([("1", "T1", "AL"), ("2", None, "AL"), ("3", None, "PW"), ("4", None, "AL")], "id string, tract string, st string")
     fallback = frame([("2", "T2")], "id string, tract string")
     facts = frame([("T1", 10), ("T2", 20)], "tract string, risk int")
-    got = enrich.repair_unmatched(df, "id", "tract", fallback, facts, F.col("st") == "PW")
-    assert sorted((r.id, r.tract, r.risk) for r in got.collect()) == [("1", "T1", 10), ("2", "T2", 20), ("3", None, None)]
+    got = enrich.repair_unmatched(df, "id", "tract", fallback, facts)
+    assert sorted((r.id, r.tract, r.risk) for r in got.collect()) == [("1", "T1", 10), ("2", "T2", 20), ("3", None, None), ("4", None, None)]
 
 
 def test_bands_and_codes(frame):

@@ -43,8 +43,8 @@ def test_facility_master_merges_an_address(master):
     assert sorted(got) == ["g1-1", "g1-2", "g2-1"]
     site = got["g1-1"]
     assert site.county == "County" and site.address_line2 == "Room 2"
-    assert site.location_name == "Office / Ash / Oak"
-    assert site.location_type == "administrative facility & center & center"
+    assert site.location_name == "Ash / Oak / Office"
+    assert site.location_type == "center & center & administrative facility"
     assert (site.lat, site.lon) == (30.5, -80.0)
     assert site.data_grantee_verification_status == "incomplete"
     assert site.is_federal_interest_site is True and site.is_owned_by_program is True
