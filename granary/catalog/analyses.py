@@ -813,9 +813,10 @@ def pip_program_trend(t):
         select application_id, grant_number, sim, revised from (
             select *, row_number() over (partition by application_id order by sim desc, b, grant_number) as k from (
                 select application_id, grant_number, b, revised, 1 - levenshtein(a, b) / greatest(length(a), length(b)) as sim
-                from m join r on m.grant = r.grant) where sim >= 0.75) where k = 1)
-    select m.application_id, m.grant, m.amt_app, grant_number, coalesce(revised, 0) as revised_amount,
-        coalesce(revised, 0) - m.amt_app as difference, round(sim, 9) as similarity, sim is null as is_weak
+                from m join r on m.grant = r.grant or m.grant not in (select r.grant from r))) where k = 1)
+    select m.application_id, m.grant, m.amt_app, grant_number, case when sim >= 0.75 then revised else 0 end as revised_amount,
+        case when sim >= 0.75 then revised else 0 end - m.amt_app as difference, round(sim, 9) as similarity,
+        coalesce(sim < 0.75, true) as is_weak, revised as revised_amount_raw
     from m left join best using (application_id)
     """,
 )
@@ -835,7 +836,7 @@ def pip_reconcile(t):
     matched = match_actuals(rows, actual)
     return matched.select(
         "application_id", "grant", "amt_app", "grant_number", "revised_amount", "difference",
-        F.round("similarity", 9).alias("similarity"), "is_weak",
+        F.round("similarity", 9).alias("similarity"), "is_weak", "revised_amount_raw",
     )
 
 

@@ -16,7 +16,7 @@ from granary.operators.checks import (
 from granary.operators.enrich import cascade_lookup, pending_keys, repair_unmatched
 from granary.operators.geometry import area_class, to_wgs84, within_join
 from granary.operators.joins import fanout_check, left_join_na
-from granary.operators.linkage import apply_threshold, link
+from granary.operators.linkage import apply_threshold, link, weak_matches
 
 
 @query(
@@ -135,7 +135,7 @@ LINK_SQL = """
     ),
     best as (
         select s_suppkey, c_custkey, sim, same from
-        (select *, row_number() over (partition by s_suppkey order by sim desc, b, c_custkey) as r from pairs where sim >= 0.75)
+        (select *, row_number() over (partition by s_suppkey order by sim desc, b, c_custkey) as r from pairs)
         where r = 1
     ),
     links as (
@@ -166,14 +166,32 @@ def lnk_fuzzy_top1(t):
     """,
 )
 def lnk_threshold(t):
+    return _thresholded(t).select(
+        "s_suppkey", "c_custkey", "amount", "is_weak", F.coalesce("c_name", "s_name").alias("name")
+    )
+
+
+@query(
+    "lnk_weak",
+    f"""
+    with {LINK_SQL}
+    select l.s_suppkey, l.c_custkey, round(similarity, 9) as similarity, s_name, c_name, c_acctbal as amount_raw
+    from links l join supplier s on l.s_suppkey = s.s_suppkey left join customer c on l.c_custkey = c.c_custkey
+    where coalesce(similarity < 0.8, true)
+    """,
+)
+def lnk_weak(t):
+    weak = weak_matches(_thresholded(t), ["s_suppkey", "c_custkey", "similarity", "s_name", "c_name", "amount_raw"])
+    return weak.withColumn("similarity", F.round("similarity", 9))
+
+
+def _thresholded(t):
     suppliers, customers = _two_sources(t)
     links = link(suppliers, customers, "name", "nation", "s_suppkey", "c_custkey")
     amounts = t.customer.select("c_custkey", F.col("c_acctbal").alias("amount"), "c_name")
     joined = left_join_na(links, amounts, "c_custkey")
     named = left_join_na(joined, t.supplier.select("s_suppkey", "s_name"), "s_suppkey")
-    return apply_threshold(named, "amount", 0.8).select(
-        "s_suppkey", "c_custkey", "amount", "is_weak", F.coalesce("c_name", "s_name").alias("name")
-    )
+    return apply_threshold(named, "amount", 0.8)
 
 
 @query(

@@ -111,11 +111,10 @@ def continuation_differences(model: DataFrame, actual: DataFrame) -> DataFrame:
 def match_actuals(rows: DataFrame, actual: DataFrame, min_similarity: float = 0.75) -> DataFrame:
     """Modelled disbursals with the actual amount of the best matching grantee.
 
-    Amounts of matches weaker than ``min_similarity`` count as zero.
+    Amounts of matches weaker than ``min_similarity`` count as zero;
+    ``revised_amount_raw`` has them as they are.
     """
-    matches = link(
-        rows, actual, "grantee", "grant", "application_id", "grant_number", min_similarity=min_similarity
-    )
+    matches = link(rows, actual, "grantee", "grant", "application_id", "grant_number")
     amounts = actual.select("grant_number", F.col("grant").alias("grant_actual"), "revised_amount")
     joined = left_join_na(left_join_na(rows, matches, "application_id"), amounts, "grant_number")
     scored = apply_threshold(joined, "revised_amount", min_similarity)
@@ -127,6 +126,14 @@ def match_actuals(rows: DataFrame, actual: DataFrame, min_similarity: float = 0.
     ).drop("grant_actual")
 
 
+def raw_differences(matched: DataFrame, program: str = "EMI") -> DataFrame:
+    """Awards of a program whose amount is not the partner's, weak partners included."""
+    raw = F.col("revised_amount_raw")
+    return matched.where((F.col("grant") == program) & (F.col("amt_app") != raw)).select(
+        "application_id", "grant", "amt_app", raw.alias("revised_amount")
+    )
+
+
 def unequal_amounts(matched: DataFrame) -> DataFrame:
     return violations(matched, F.col("amt_app") == F.col("revised_amount"))
 
