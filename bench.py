@@ -37,6 +37,9 @@ HEADLINE = [
     "rsh_multi_header",
     "svy_total_se",
     "txt_counts",
+    "txt_dtm",
+    "txt_gamma",
+    "gph_subgraph",
 ]
 
 
@@ -47,7 +50,7 @@ def main():
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))  # after one run to warm up
+    runs = int(os.environ.get("BENCH_RUNS", "3"))  # after one run to warm up
     chosen = os.environ.get("BENCH_QUERIES")
     names = list(QUERIES) if chosen == "all" else chosen.split(",") if chosen else HEADLINE
     spark = (

@@ -13,7 +13,7 @@ from granary.catalog.standins import (
     polygon_table,
     sites,
 )
-from granary.catalog.topics import STOPWORDS
+from granary.catalog.topics import K, SEED, TOPICS_SQL, stopword_table
 from granary.functions import paste, row_sum
 from granary.operators.sets import union_by_name
 from granary.operators.survey import margin_band, moe_shares
@@ -573,13 +573,19 @@ def pip_enrollment(t):
     return attach_initiative(enrollment, initiative, ["grant_id", "report_month", "program"])
 
 
-@query("pip_topics")
+@query(
+    "pip_topics",
+    f"""with {TOPICS_SQL},
+    g as (select lang as grp, t, w from documents join theta using (doc_id)
+          union all select cast(n_chars > 1000 as varchar), t, w from documents join theta using (doc_id))
+    select grp, cast(t as int) as topic, round(avg(w), 6) as avg_gamma from g where grp is not null group by 1, 2""",
+)
 def pip_topics(t):
     comments = t.documents.withColumn("is_long", F.col("n_chars") > 1000)
-    found = comment_topics(comments, "doc_id", "text", ["lang", "is_long"], 6, 1234, STOPWORDS, 5)
+    found = comment_topics(comments, "doc_id", "text", ["lang", "is_long"], K, SEED, stopword_table(t))
     by_lang = found["by_lang"].withColumnRenamed("lang", "grp")
     by_size = found["by_is_long"].select(F.col("is_long").cast("string").alias("grp"), "topic", "avg_gamma")
-    return union_by_name(by_lang, by_size)
+    return union_by_name(by_lang, by_size).withColumn("avg_gamma", F.round("avg_gamma", 6))
 
 
 @query(

@@ -5,14 +5,14 @@ id of a class goes on. Each of ``TREES`` trees orders the classes by a label of
 that agree on the first ``START`` values of a tree form a region. Candidates are neighbours in a tree's order with a
 long common prefix, screened by the distance of 192-bit sketches (one bit of every MinHash value):
 
-1. The rows of each tree are sorted by label (range partitions, so a hot region is cut into several tasks). Each
-   class picks its most similar partner in its region: among all of a small region, among the neighbours of
-   longest common prefix in a large one.
+1. The rows of each tree are sorted by label (range partitions, so a hot region is cut into several tasks). In its
+   region each class finds its most similar partner: among all of a small region, among the neighbours of longest
+   common prefix in a large one. A crowded region is split at a greater depth. A spanning forest of the pairs that
+   pass the screen ties classes to clusters.
 2. The best pairs are confirmed on the full sets, and linked classes form components.
-3. Whatever is still apart is settled: in each region all pairs of classes of different components that pass the
-   screen are confirmed too. One side of these pairs is always outside the region's largest component, so a
-   group of copies, already joined, is not compared within itself. A region crowded by many different components is
-   taken at a greater depth.
+3. What is still apart in a cluster is settled on the full sets: the classes outside the cluster's largest component
+   are compared with all the others, block by block inside tasks, and only one link for each class and component
+   comes out. So a group of copies, already joined, is not compared within itself, and no pairs are listed.
 
 Two sets of similarity J share a region with chance 1 - (1 - J^5)^24: above 0.9999 at 0.8. Nothing is capped.
 """
@@ -32,8 +32,9 @@ from granary.session import cut_lineage
 TREES, START, DEPTH = 24, 5, 8
 SKETCH = TREES * DEPTH  # bits
 SMALL = 64
-CROWDED = 512
+CROWDED = 4096
 NEIGHBOURS = 8
+BLOCK = 1000
 
 
 def shingle_codes(words: list[bytes], codes: WordCodes, size: int) -> np.ndarray:
@@ -59,7 +60,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def class_rows(docs: DataFrame, size: int, limit: float) -> DataFrame:
+def class_rows(docs: DataFrame, size: int) -> DataFrame:
     """(id, n, code, trees, bits): shingle count, hash of the set, (key, label) of each tree, sketch."""
 
     def make():
@@ -103,56 +104,60 @@ def screen_bits(limit: float) -> int:
 
 
 def _partners(rows: DataFrame, limit: float) -> DataFrame:
-    """Members of regions with another member, each with its best partner there; rows come sorted by label."""
+    """(node, partner, apart, tie): for each tree, a class's best partner and one that ties it to its cluster.
+
+    Rows come sorted by label. ``tie`` pairs are a spanning forest of the pairs of a region that pass the screen.
+    """
     most = screen_bits(limit)
     levels = DEPTH - START + 1
 
-    def settle(node, n, bits):
-        """Best partner of each row of one region in label order, or -1."""
-        k = len(node)
-        best, least = np.full(k, -1, np.int64), np.full(k, most + 1)
-
-        def offer(i, j):
+    def run(batches):
+        def near(bits, n, node, i, j):
             d = _apart(bits[i], bits[j])
-            ok = (d <= most) & (np.minimum(n[i], n[j]) >= limit * np.maximum(n[i], n[j]) * (1 - 1e-9)) & (node[i] != node[j])
-            for x, y in ((i, j), (j, i)):
-                better = np.flatnonzero(ok & (d < least[x]))
-                for t in better[np.argsort(-d[better], kind="stable")]:  # the last one written is the nearest
-                    if d[t] < least[x[t]]:
-                        least[x[t]], best[x[t]] = d[t], node[y[t]]
-
-        reach = k - 1 if k <= SMALL else NEIGHBOURS
-        for step in range(1, reach + 1):
-            i = np.arange(k - step)
-            offer(i, i + step)
-        if k > SMALL:  # without a partner among the neighbours of longest prefix: look at the whole region
-            for i in np.flatnonzero(best < 0):
-                offer(np.full(k, i), np.arange(k))
-        return best, least
+            size = np.minimum(n[i], n[j]) >= limit * np.maximum(n[i], n[j]) * (1 - 1e-9)
+            return np.where(size & (node[i] != node[j]), d, most + 1)
+
+        def settle(cols, s, e, depth, best, least, tie):
+            """Fill in the best partners and ties of the rows s to e, which share a region at a depth."""
+            node, n, bits, k = cols["node"][s:e], cols["n"][s:e], cols["bits"][s:e], e - s
+            for step in range(1, (k - 1 if k <= SMALL else NEIGHBOURS) + 1):
+                i = np.arange(k - step)
+                d = near(bits, n, node, i, i + step)
+                for x, y in ((i, i + step), (i + step, i)):
+                    better = d < least[s + x]
+                    least[s + x[better]], best[s + x[better]] = d[better], node[y[better]]
+            if k > CROWDED and depth < levels - 1:
+                key = cols[f"k{depth + 1}"][s:e]
+                cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), k)
+                for a, b in zip(cuts, cuts[1:]):
+                    if b - a > 1:
+                        settle(cols, s + a, s + b, depth + 1, best, least, tie)
+                return
+            apart, queue = np.arange(k), []  # rows not yet in the forest
+            while len(apart):
+                if not queue:
+                    queue.append(int(apart[0]))
+                    apart = apart[1:]
+                    continue
+                x = queue.pop()
+                hit = near(bits, n, node, np.full(len(apart), x), apart) <= most
+                tie[s + apart[hit]] = node[x]
+                queue.extend(apart[hit].tolist())
+                apart = apart[~hit]
+
+        def done(cols):
+            k = len(cols["k0"])
+            best, least, tie = np.full(k, -1, np.int64), np.full(k, most + 1), np.full(k, -1, np.int64)
+            cuts = np.append(np.flatnonzero(np.append(True, cols["k0"][1:] != cols["k0"][:-1])), k)
+            for s, e in zip(cuts, cuts[1:]):
+                if e - s > 1:
+                    settle(cols, s, e, 0, best, least, tie)
+            keep = (best != -1) | (tie != -1)
+            known = least <= most
+            arrays = [pa.array(cols["node"][keep]), pa.array(best[keep], mask=~known[keep]), pa.array(least[keep].astype(np.int32)), pa.array(tie[keep], mask=tie[keep] == -1)]
+            return pa.record_batch(arrays, names=["node", "partner", "apart", "tie"])
 
-    def run(batches):
         held = None
-
-        def done(cols, edge):
-            """Rows of the runs of equal key; a run at the edge of the partition may go on in the next one."""
-            key = cols["k0"]
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            ends = np.append(starts[1:], len(key))
-            alone = (ends - starts == 1) & ~(edge & ((starts == 0) | (ends == len(key))))
-            best, least = np.full(len(key), -1, np.int64), np.full(len(key), most + 1)
-            for s, e in zip(starts, ends):
-                if e - s > 1:
-                    best[s:e], least[s:e] = settle(cols["node"][s:e], cols["n"][s:e], cols["bits"][s:e])
-            keep = np.repeat(~alone, ends - starts)
-            if not keep.any():
-                return None
-            arrays = [pa.array(cols[f"k{d}"][keep]) for d in range(levels)]
-            arrays += [pa.array(cols["node"][keep]), pa.array(cols["n"][keep])]
-            arrays += [pa.array(np.ascontiguousarray(cols["bits"][keep, w]).view(np.int64)) for w in range(3)]
-            arrays += [pa.array(best[keep], mask=best[keep] < 0), pa.array(least[keep].astype(np.int32))]
-            return pa.record_batch(arrays, names=[*(f"k{d}" for d in range(levels)), "node", "n", "b0", "b1", "b2", "partner", "apart"])
-
-        first = True
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -160,23 +165,17 @@ def _partners(rows: DataFrame, limit: float) -> DataFrame:
             cols = {**{f"k{d}": got[f"k{d}"] for d in range(levels)}, "node": got["node"], "n": got["n"], "bits": np.stack([got[f"b{w}"].view(np.uint64) for w in range(3)], 1)}
             if held is not None:
                 cols = {c: np.concatenate([held[c], cols[c]]) for c in cols}
-            # the last region may go on in the next batch, but a long one is worked on in pieces
+            # the last region may go on in the next batch; a long one is worked on in pieces
             last = int(np.searchsorted(cols["k0"], cols["k0"][-1], "left"))
             if len(cols["k0"]) - last > 20_000:
                 last = len(cols["k0"])
             held = {c: x[last:] for c, x in cols.items()}
             if last:
-                out = done({c: x[:last] for c, x in cols.items()}, first)
-                first = False
-                if out is not None:
-                    yield out
+                yield done({c: x[:last] for c, x in cols.items()})
         if held is not None and len(held["k0"]):
-            out = done(held, True)
-            if out is not None:
-                yield out
+            yield done(held)
 
-    columns = ", ".join(f"k{d} long" for d in range(levels)) + ", node long, n long, b0 long, b1 long, b2 long, partner long, apart int"
-    return rows.mapInArrow(run, columns)
+    return rows.mapInArrow(run, "node long, partner long, apart int, tie long")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -214,33 +213,51 @@ def _confirm(pairs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
     return map_batches(both.select("u", "v", "a", "b"), "u long, v long", make).distinct()
 
 
-def _left_apart(members: DataFrame, roots: DataFrame, limit: float) -> DataFrame:
-    """Screened pairs (u, v) of members of a region that are in different components."""
-    most = screen_bits(limit)
+def _left_apart(clusters: DataFrame, roots: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
+    """Links (u, v) between the components that a cluster is still in, one for each class and component."""
+    percent = round(limit * 100)
     labels = roots.withColumnRenamed("node", "labelled")
-    rows = members.drop("partner", "apart").join(labels, F.col("node") == F.col("labelled"), "left")
-    rows = cut_lineage(rows.withColumn("root", F.coalesce("root", "node")).drop("labelled"))
-    out = None
-    for d in range(DEPTH - START + 1):
-        key = f"k{d}"
-        by_root = rows.groupBy(key, "root").agg(F.count(F.lit(1)).alias("c"))
-        regions = by_root.groupBy(key).agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main")).where(F.col("roots") > 1)
-        crowded = None
-        if d < DEPTH - START:
-            crowded = regions.where(F.col("roots") > CROWDED).select(key)
-            regions = regions.where(F.col("roots") <= CROWDED)
-        here = rows.join(regions.select(key, "main"), key).select(key, "node", "n", "b0", "b1", "b2", "root", "main")
-        a = here.where(F.col("root") != F.col("main")).toDF("key", "u", "un", "u0", "u1", "u2", "uroot", "umain")
-        b = here.toDF("key", "v", "vn", "v0", "v1", "v2", "vroot", "vmain")
-        apart = sum((F.bit_count(F.col(f"u{w}").bitwiseXOR(F.col(f"v{w}"))) for w in range(3)), F.lit(0))
-        near = (F.col("uroot") != F.col("vroot")) & ((F.col("vroot") == F.col("vmain")) | (F.col("u") < F.col("v")))
-        near &= (100 * F.least("un", "vn") >= round(limit * 100) * F.greatest("un", "vn")) & (apart <= most)
-        pairs = a.join(b, (a["key"] == b["key"]) & near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        out = pairs if out is None else out.union(pairs)
-        if crowded is None or crowded.isEmpty():
-            break
-        rows = rows.join(crowded, key, "left_semi")
-    return out.distinct()
+    nodes = clusters.join(labels, F.col("node") == F.col("labelled"), "left").select("cluster", "node", F.coalesce("root", "node").alias("root"))
+    by_root = nodes.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("c"))
+    split = by_root.groupBy("cluster").agg(F.count(F.lit(1)).alias("roots"), F.sum("c").alias("size"), F.max("c").alias("top"), F.max_by("root", F.struct("c", "root")).alias("main"))
+    split = split.where(F.col("roots") > 1).select(F.col("cluster").alias("of"), "main", "size", (F.col("size") - F.col("top")).alias("outside"))
+    here = nodes.join(split, F.col("cluster") == F.col("of")).drop("of")
+    here = here.join(sets.withColumnRenamed("node", "set_of"), F.col("node") == F.col("set_of")).drop("set_of")
+    here = here.withColumns({"blocks": F.ceil(F.col("size") / BLOCK).cast("int"), "outs": F.ceil(F.col("outside") / BLOCK).cast("int")})
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    # each block of classes meets each block of those outside the largest component
+    members = here.select("cluster", own("blocks").alias("b"), F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("o"), "node", "root", "codes")
+    outside = here.where(F.col("root") != F.col("main"))
+    outside = outside.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), own("outs").alias("o"), "node", "root", "codes").toDF("cluster_", "b_", "o_", "node_", "root_", "codes_")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        u, v = [], []
+        if left.num_rows and right.num_rows:
+            node, root = left["node"].to_numpy(), left["root"].to_numpy()
+            parts = [np.frombuffer(c, np.uint64) for c in left["codes"].to_pylist()]
+            order = np.argsort(root, kind="stable")
+            node, root, parts = node[order], root[order], [parts[i] for i in order]
+            size, flat = np.array([len(p) for p in parts]), np.concatenate(parts)
+            starts, firsts = np.cumsum(size) - size, np.flatnonzero(np.append(True, root[1:] != root[:-1]))
+            order = np.argsort(flat)
+            flat = flat[order]
+            owner = np.repeat(np.arange(len(parts)), size)[order]
+            for x, r, c in zip(right["node_"].to_pylist(), right["root_"].to_pylist(), right["codes_"].to_pylist()):
+                codes = np.frombuffer(c, np.uint64)
+                low, high = np.searchsorted(flat, codes, "left"), np.searchsorted(flat, codes, "right")
+                many = high - low
+                at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                shared = np.bincount(owner[at], minlength=len(parts))
+                linked = (100 * shared >= percent * (size + len(codes) - shared)) & (root != r)
+                if linked.any():
+                    hit = np.flatnonzero(linked)
+                    for i in hit[np.unique(np.searchsorted(firsts, hit, "right"), return_index=True)[1]]:
+                        u.append(min(x, int(node[i])))
+                        v.append(max(x, int(node[i])))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    pairs = members.groupBy("cluster", "b", "o").cogroup(outside.groupBy("cluster_", "b_", "o_"))
+    return pairs.applyInArrow(meet, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, limit: float = 0.8) -> DataFrame:
@@ -253,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its component is NULL, and it is kept. Rows of the same id are one document with several texts.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
-    rows = cut_lineage(class_rows(picked, size, limit))
+    rows = cut_lineage(class_rows(picked, size))
     real = rows.where(F.col("id").isNotNull() & F.col("code").isNotNull())
     classes = real.groupBy("code").agg(F.min("id").alias("rep"))
     # one row of each class goes into the trees
@@ -264,18 +281,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).select(*(F.col("k")[d].alias(f"k{d}") for d in range(levels)), "node", "n", "b0", "b1", "b2")
     order = [f"k{d}" for d in range(levels)]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = cut_lineage(_partners(trees.repartitionByRange(parts, *order).sortWithinPartitions(*order), limit))
-    near = members.where(F.col("partner").isNotNull())
-    best = near.groupBy("node").agg(F.min_by("partner", F.struct("apart", "partner")).alias("partner"))
+    found = cut_lineage(_partners(trees.repartitionByRange(parts, *order).sortWithinPartitions(*order), limit))
+    ties = found.where(F.col("tie").isNotNull()).select(F.col("node").alias("u"), F.col("tie").alias("v"))
+    best = found.where(F.col("partner").isNotNull()).groupBy("node").agg(F.min_by("partner", F.struct("apart", "partner")).alias("partner"))
     first = best.select(F.least("node", "partner").alias("u"), F.greatest("node", "partner").alias("v")).distinct()
-    sets = cut_lineage(_sets(picked, near.select("node").distinct(), size))
+    clusters = cut_lineage(components(ties.union(first)).withColumnRenamed("root", "cluster"))
+    sets = cut_lineage(_sets(picked, clusters.select("node"), size))
     links = cut_lineage(_confirm(first, sets, limit))
     roots = components(links)
-    rest = cut_lineage(_left_apart(members, roots, limit))
-    unread = rest.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
-    if not unread.isEmpty():
-        sets = sets.union(cut_lineage(_sets(picked, unread, size)))
-    more = cut_lineage(_confirm(rest, sets, limit))
+    more = cut_lineage(_left_apart(clusters, roots, sets, limit))
     roots = components(links.union(more)) if not more.isEmpty() else roots
     # rows of one id but different sets are one document, so their classes are one too
     found = _with_roots(real, classes, roots)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from granary.functions import not_in
 from granary.operators.aggregate import count_by_group
 from granary.operators.sampling import rows_of_sample, sample_balance, strata_sizes, stratified_sample
-from granary.operators.topics import beta, document_terms, fit_topics, gamma, mean_by_group, top_terms, topic_map
+from granary.operators.topics import ROUNDS, beta, document_terms, fit_topics, gamma, mean_by_group, top_terms, topic_map
 
 # Regions left out of the sample.
 EXCLUDED_REGIONS = ["Totals", "12", "13"]
@@ -18,14 +18,11 @@ EXCLUDED_REGIONS = ["Totals", "12", "13"]
 
 def comment_topics(
     comments: DataFrame, id: str, text: str, by: Sequence[str], k: int = 6, seed: int = 1234,
-    stopwords: Sequence[str] = (), max_iter: int = 20,
+    stopwords: DataFrame | None = None, rounds: int = ROUNDS,
 ) -> dict[str, DataFrame]:
     """Topic model of comments: terms, mixes, map, top terms, means by group."""
-    dtm, vocabulary = document_terms(comments, id, text, stopwords)
-    dtm = dtm.cache()
-    model = fit_topics(dtm, k, seed, max_iter)
-    betas = beta(comments.sparkSession, model, vocabulary)
-    gammas = gamma(dtm, id, model)
+    texts, terms = fit_topics(document_terms(comments, id, text, stopwords), id, [k], seed, rounds)
+    betas, gammas = beta(terms, [k]).drop("k"), gamma(texts, id, [k]).drop("k")
     return {
         "beta": betas,
         "gamma": gammas,

@@ -62,8 +62,9 @@ def make_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("size, small, crowded", [(2, 64, 512), (5, 64, 512), (2, 3, 512), (2, 3, 4)])
-def test_against_brute_force(frame, monkeypatch, size, small, crowded):
+@pytest.mark.parametrize("size, small, crowded, block", [(2, 64, 4096, 1000), (5, 3, 4096, 20), (2, 3, 60, 7)])
+def test_against_brute_force(frame, monkeypatch, size, small, crowded, block):
+    monkeypatch.setattr(near_dups, "BLOCK", block)
     monkeypatch.setattr(near_dups, "SMALL", small)
     monkeypatch.setattr(near_dups, "CROWDED", crowded)
     rows = make_rows(size)

@@ -340,11 +340,55 @@ def test_topics(frame):
     rows = [(str(i), ("staff shortage hiring " if i % 2 else "building repair roof ") * 3 + "it's", f"r{i % 3}") for i in range(30)]
     rows += [("none", "...", "r0"), ("null", None, "r0")]
     df = frame(rows, "pk string, comment string, region string")
-    found = comments.comment_topics(df, "pk", "comment", ["region"], k=2, seed=1, stopwords=["it's"], max_iter=5)
+    stopwords = frame([("it's",)], "word string")
+    found = comments.comment_topics(df, "pk", "comment", ["region"], k=2, seed=1, stopwords=stopwords, rounds=15)
     betas = found["beta"].collect()
     assert {r.term for r in betas} == {"staff", "shortage", "hiring", "building", "repair", "roof"}
     for topic in (1, 2):
         assert sum(r.beta for r in betas if r.topic == topic) == pytest.approx(1)
     sums = found["gamma"].groupBy("pk").agg(F.sum("gamma").alias("s"), F.count(F.lit(1)).alias("n")).collect()
     assert len(sums) == 30 and all(r.s == pytest.approx(1) and r.n == 2 for r in sums)
+    # the two kinds of comment are told apart
+    top = {r.pk: r.topic for r in found["gamma"].where("gamma > 0.5").collect()}
+    assert len({top[str(i)] for i in range(0, 30, 2)}) == len({top[str(i)] for i in range(1, 30, 2)}) == 1 and top["0"] != top["1"]
     assert found["by_region"].count() == 6 and found["map"].columns == ["pk", "1", "2", "comment"]
+
+
+def brute_scores(cells, k, seed, rounds, alpha, eta):
+    """Mean cosine and divergence of one model, by the recurrence in plain arrays."""
+    import hashlib
+
+    import numpy as np
+
+    texts, terms = (sorted({c[i] for c in cells}) for i in (0, 1))
+    n = np.zeros((len(texts), len(terms)))
+    for d, w, c in cells:
+        n[texts.index(d), terms.index(w)] = c
+    theta = np.full((len(texts), k), 1 / k)
+    phi = np.array([[1 + int(hashlib.md5(f"{w}|{t}|{seed}".encode()).hexdigest()[:4], 16) / 65536 for t in range(1, k + 1)] for w in terms])
+    phi /= phi.sum(0)
+    for _ in range(rounds):
+        p = theta[:, None, :] * phi[None]
+        x = n[:, :, None] * p / p.sum(2, keepdims=True)
+        theta = (x.sum(1) + alpha) / (n.sum(1, keepdims=True) + k * alpha)
+        phi = x.sum(0) + eta
+        phi /= phi.sum(0)
+    cos, div = [], []
+    for i in range(k):
+        for j in range(i + 1, k):
+            a, b = phi[:, i], phi[:, j]
+            cos.append(a @ b / np.sqrt((a @ a) * (b @ b)))
+            m = (a + b) / 2
+            div.append(((a * np.log(a / m)).sum() + (b * np.log(b / m)).sum()) / 2)
+    return np.mean(cos), np.mean(div)
+
+
+def test_sweep_against_brute_force(frame):
+    from granary.operators import topics
+
+    cells = [(d, f"w{w}", float((d * w) % 5 + 1)) for d in range(12) for w in range(9) if (d + w) % 3]
+    got = topics.tune_k(frame(cells, "pk int, term string, n double"), "pk", range(2, 5), 77, rounds=4).collect()
+    assert sorted(r.k for r in got) == [2, 3, 4]
+    for r in got:
+        want = brute_scores(cells, r.k, 77, 4, topics.ALPHA, topics.ETA)
+        assert (r.mean_cosine, r.mean_divergence) == (pytest.approx(want[0]), pytest.approx(want[1]))
