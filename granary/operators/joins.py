@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -83,10 +84,6 @@ def _membership(left, right, on, how):
     return left.alias("l").join(keys.alias("r"), _condition(pairs), how)
 
 
-class CardinalityError(ValueError):
-    pass
-
-
 def repeated_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.groupBy(*on).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
@@ -94,13 +91,20 @@ def repeated_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
 def join_checked(
     left: DataFrame, right: DataFrame, on: Sequence[str], relationship: str = "one-to-one"
 ) -> DataFrame:
-    """Left join that fails if a key repeats on a side declared as "one"."""
+    """Left join that fails, when it is run, if a key repeats on a side declared as "one".
+
+    Keys are counted where the join needs their rows together anyway, so the check
+    costs no pass and no exchange of its own; ``repeated_keys`` lists the repeats.
+    """
     on = [on] if isinstance(on, str) else list(on)
-    one_left, one_right = (side == "one" for side in relationship.split("-to-"))
-    for is_one, side, name in ((one_left, left, "left"), (one_right, right, "right")):
-        if is_one and not repeated_keys(side, on).isEmpty():
-            raise CardinalityError(f"repeated key on the {name} side of a {relationship} join")
-    return left_join_na(left, right, on)
+    sides = []
+    for one, df, name in zip(relationship.split("-to-"), (left, right), ("left", "right")):
+        if one == "one":
+            failed = F.raise_error(F.lit(f"repeated key on the {name} side of a {relationship} join"))
+            alone = F.count(F.lit(1)).over(W.partitionBy(*on)) == 1
+            df = df.withColumn("_alone", alone).where(F.when(F.col("_alone"), F.lit(True)).otherwise(failed.cast("boolean"))).drop("_alone")
+        sides.append(df)
+    return left_join_na(*sides, on)
 
 
 def fanout_check(left: DataFrame, joined: DataFrame) -> DataFrame:

@@ -174,7 +174,20 @@ def test_link_prefers_the_exact_field_and_searches_elsewhere_only_without_it(fra
     assert got["l1"].score == pytest.approx(0.25 * 15 / 16 + 0.75)
     # no ERE on the right: found among the others, ties to the smallest key
     assert got["l2"].rk == "r2" and not got["l2"].is_exact_equal and got["l2"].score == pytest.approx(0.25)
-    assert got["l3"].rk is None and got["l4"].rk is None and len(got) == 4
+    # a weak partner is still a partner; without a text there is none
+    assert got["l3"].rk == "r1" and got["l3"].similarity < 0.5 and got["l4"].rk is None and len(got) == 4
+
+
+def test_every_row_gets_its_best_partner(frame):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))
+    left, right = ([(f"{side}{i:02d}", word(), rng.choice("xy")) for i in range(25)] for side in "lr")
+    got = linkage.link(frame(left, "lk string, name string, kind string"), frame(right, "rk string, name string, kind string"), "name", "kind", "lk", "rk").collect()
+    want = {}
+    for key, a, kind in left:
+        ranked = [(-(1 - distance(a, b) / max(len(a), len(b))), b, rk) for rk, b, other in right if other == kind]
+        want[key] = min(ranked)
+    assert {r.lk: (r.rk, round(r.similarity, 9)) for r in got} == {k: (rk, round(-s, 9)) for k, (s, _, rk) in want.items()}
 
 
 def test_threshold_zeroes_weak_amounts(frame):
@@ -290,8 +303,8 @@ def test_join_checked(frame):
     one = frame([(1, "a"), (2, "b")], "k int, s string")
     many = frame([(1, 5), (1, 6)], "k int, v int")
     assert joins.join_checked(one, many, ["k"], "one-to-many").count() == 3
-    with pytest.raises(joins.CardinalityError):
-        joins.join_checked(one, many, ["k"], "one-to-one")
+    with pytest.raises(Exception, match="repeated key on the right side of a one-to-one join"):
+        joins.join_checked(one, many, ["k"], "one-to-one").collect()
     with pytest.raises(ValueError, match="both sides"):
         joins.left_join_na(one, one, ["k"])
 
