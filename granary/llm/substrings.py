@@ -34,6 +34,7 @@ PERIOD = 7
 COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 BUCKET_ENTRIES = 500_000
+ANCHOR_BYTES = 6  # of an anchor's hash, besides its bucket; two anchors taken for equal cost work, not exactness
 
 _PACKED = "bucket long, hash binary, rest binary, id binary, mark binary, pos binary"
 
@@ -52,14 +53,14 @@ def _delta(x: np.ndarray) -> bytes:
     return np.diff(x, prepend=x.dtype.type(0)).tobytes()
 
 
-def _pack(bits: int, hashes, rest, ids, marks, pos) -> list[tuple]:
-    """Rows of ``_PACKED``, one per bucket with entries, entries in order of place."""
+def _pack(bits: int, hashes, rest, ids, marks, pos, width: int = 8) -> list[tuple]:
+    """Rows of ``_PACKED``, one per bucket with entries, entries in order of place; ``width`` low bytes of a hash."""
     bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     rows = []
     for part in np.split(order, cuts) if len(order) else []:
-        rows.append((int(bucket[part[0]]), hashes[part].tobytes(), rest[part].tobytes(), _delta(ids[part]), _delta(marks[part]), pos[part].astype(np.uint32).tobytes()))
+        rows.append((int(bucket[part[0]]), hashes[part].view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), rest[part].tobytes(), _delta(ids[part]), _delta(marks[part]), _delta(pos[part].astype(np.uint32))))
     return rows
 
 
@@ -72,7 +73,7 @@ def _by_target(bits: int, ids, marks, pos) -> list[tuple]:
     target = _targets(ids, bits)
     order = np.argsort(target, kind="stable")
     cuts = np.flatnonzero(np.diff(target[order])) + 1
-    return [(int(target[p[0]]), _delta(ids[p]), _delta(marks[p]), pos[p].astype(np.uint32).tobytes()) for p in (np.split(order, cuts) if len(order) else [])]
+    return [(int(target[p[0]]), _delta(ids[p]), _delta(marks[p]), _delta(pos[p].astype(np.uint32))) for p in (np.split(order, cuts) if len(order) else [])]
 
 
 def _own(bits: int, ids, marks, pos) -> list[tuple]:
@@ -100,17 +101,19 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
 def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, marks and positions of packed rows."""
     ids, marks = (np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in table[c].to_pylist()]) for c in ("id", "mark"))
-    return ids, marks, np.concatenate([np.frombuffer(x, np.uint32) for x in table["pos"].to_pylist()])
+    return ids, marks, np.concatenate([np.cumsum(np.frombuffer(x, np.uint32), dtype=np.uint32) for x in table["pos"].to_pylist()])
 
 
-def _settle(packed: DataFrame, rule, bits: int) -> DataFrame:
+def _settle(packed: DataFrame, rule, bits: int, width: int = 8) -> DataFrame:
     """(id, mark, at): for each document the packed places that ``rule`` picks in the buckets, or settled before."""
 
     def pick(table: pa.Table) -> pa.Table:
         ids, marks, pos = _unpack(table)
         if table["bucket"][0].as_py() >= 0:
             join = lambda c, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in table[c].to_pylist())])
-            picked = rule(join("hash", np.uint64), join("rest", np.uint32), ids, marks)
+            hashes = np.zeros((len(ids), 8), np.uint8)
+            hashes[:, :width] = join("hash", np.uint8).reshape(-1, width)
+            picked = rule(hashes.view(np.uint64).ravel(), join("rest", np.uint32), ids, marks)
             ids, marks, pos = ids[picked], marks[picked], pos[picked]
         rows = _by_target(bits, ids, marks, pos)
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("target", pa.int64()), ("id", pa.binary()), ("mark", pa.binary()), ("pos", pa.binary())))})
@@ -166,7 +169,7 @@ def _anchor_rows(docs: DataFrame, bits: int) -> DataFrame:
             first[starts] = True
             send = np.sort(order[~several | first])
             here = order[several]
-            return _as_columns(_pack(bits, hashes[send], np.zeros((len(send), 0), np.uint32), ids[send], marks[send], pos[send]) + _own(bits, ids[here], marks[here], pos[here]))
+            return _as_columns(_pack(bits, hashes[send], np.zeros((len(send), 0), np.uint32), ids[send], marks[send], pos[send], ANCHOR_BYTES) + _own(bits, ids[here], marks[here], pos[here]))
 
         return run
 
@@ -270,7 +273,7 @@ def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = same.groupBy("all_sha256").agg(F.min("id").alias("first"))
     copies = same.join(first, "all_sha256").where(F.col("id") > F.col("first")).select("id", "mark", "n_words").distinct()
     bits = _bits(words, len(COVER) / PERIOD)
-    shared = _settle(_anchor_rows(real, bits), _shared, bits).join(copies.select("id", "mark"), ["id", "mark"], "left_anti")
+    shared = _settle(_anchor_rows(real, bits), _shared, bits, ANCHOR_BYTES).join(copies.select("id", "mark"), ["id", "mark"], "left_anti")
     touched = cut_lineage(_zipped(real).join(shared, ["id", "mark"]))
     bits = _bits(words, 1 / 8)
     cut = _cut(touched.drop("at").join(_settle(_run_rows(touched, bits), _later, bits), ["id", "mark"]))
