@@ -7,8 +7,8 @@ long common prefix, screened by the distance of 192-bit sketches (one bit of eve
 
 1. The rows of each tree are sorted by label (range partitions, so a hot region is cut into several tasks). In its
    region each class finds its most similar partner: among all of a small region, among the neighbours of longest
-   common prefix in a large one. A crowded region is split at a greater depth. A spanning forest of the pairs that
-   pass the screen ties classes to clusters.
+   common prefix in a large one. A crowded region is split at a greater depth. Classes that the screen connects are
+   tied to clusters.
 2. The best pairs are confirmed on the full sets, and linked classes form components.
 3. What is still apart in a cluster is settled on the full sets: the classes outside the cluster's largest component
    are compared with all the others, block by block inside tasks, and only one link for each class and component
@@ -35,6 +35,7 @@ SMALL = 64
 CROWDED = 4096
 NEIGHBOURS = 8
 BLOCK = 1000
+NONE = np.iinfo(np.int64).min  # no class
 
 
 def shingle_codes(words: list[bytes], codes: WordCodes, size: int) -> np.ndarray:
@@ -106,7 +107,8 @@ def screen_bits(limit: float) -> int:
 def _partners(rows: DataFrame, limit: float) -> DataFrame:
     """(node, partner, apart, tie): for each tree, a class's best partner and one that ties it to its cluster.
 
-    Rows come sorted by label. ``tie`` pairs are a spanning forest of the pairs of a region that pass the screen.
+    Rows come sorted by label. The pairs of a region that pass the screen connect its rows to parts; ``tie`` is the
+    smallest class of the part, so that trees which agree on a group give the same pairs.
     """
     most = screen_bits(limit)
     levels = DEPTH - START + 1
@@ -133,28 +135,32 @@ def _partners(rows: DataFrame, limit: float) -> DataFrame:
                     if b - a > 1:
                         settle(cols, s + a, s + b, depth + 1, best, least, tie)
                 return
-            apart, queue = np.arange(k), []  # rows not yet in the forest
-            while len(apart):
-                if not queue:
+            apart, queue, part, parts = np.arange(k), [], np.zeros(k, np.int64), -1
+            while len(apart) or queue:
+                if not queue:  # the first row not yet reached begins a new part
+                    parts += 1
                     queue.append(int(apart[0]))
+                    part[apart[0]] = parts
                     apart = apart[1:]
-                    continue
                 x = queue.pop()
                 hit = near(bits, n, node, np.full(len(apart), x), apart) <= most
-                tie[s + apart[hit]] = node[x]
+                part[apart[hit]] = parts
                 queue.extend(apart[hit].tolist())
                 apart = apart[~hit]
+            first = np.full(parts + 1, np.iinfo(np.int64).max)
+            np.minimum.at(first, part, node)
+            tie[s:e] = np.where(first[part] == node, NONE, first[part])
 
         def done(cols):
             k = len(cols["k0"])
-            best, least, tie = np.full(k, -1, np.int64), np.full(k, most + 1), np.full(k, -1, np.int64)
+            best, least, tie = np.full(k, NONE), np.full(k, most + 1), np.full(k, NONE)
             cuts = np.append(np.flatnonzero(np.append(True, cols["k0"][1:] != cols["k0"][:-1])), k)
             for s, e in zip(cuts, cuts[1:]):
                 if e - s > 1:
                     settle(cols, s, e, 0, best, least, tie)
-            keep = (best != -1) | (tie != -1)
+            keep = (best != NONE) | (tie != NONE)
             known = least <= most
-            arrays = [pa.array(cols["node"][keep]), pa.array(best[keep], mask=~known[keep]), pa.array(least[keep].astype(np.int32)), pa.array(tie[keep], mask=tie[keep] == -1)]
+            arrays = [pa.array(cols["node"][keep]), pa.array(best[keep], mask=~known[keep]), pa.array(least[keep].astype(np.int32)), pa.array(tie[keep], mask=tie[keep] == NONE)]
             return pa.record_batch(arrays, names=["node", "partner", "apart", "tie"])
 
         held = None
@@ -213,6 +219,19 @@ def _confirm(pairs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
     return map_batches(both.select("u", "v", "a", "b"), "u long, v long", make).distinct()
 
 
+def _clusters(first: DataFrame, ties: DataFrame) -> DataFrame:
+    """(node, cluster) by best pairs and ties. Ties repeat what most best pairs say, so they are contracted first."""
+    near = cut_lineage(components(first))
+    ends = {c: near.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root")) for c in ("u", "v")}
+    for c, roots in ends.items():
+        ties = ties.join(roots, F.col(c) == F.col(f"{c}_node"), "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c)).drop(f"{c}_node")
+    ties = cut_lineage(ties)
+    far = components(ties.select(F.col("u_root").alias("u"), F.col("v_root").alias("v")))
+    nodes = near.union(ties.select("u", "u_root")).union(ties.select("v", "v_root")).distinct()
+    joined = nodes.join(far.select(F.col("node").alias("near"), F.col("root").alias("far")), F.col("root") == F.col("near"), "left")
+    return joined.select("node", F.coalesce("far", "root").alias("cluster"))
+
+
 def _left_apart(clusters: DataFrame, roots: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
     """Links (u, v) between the components that a cluster is still in, one for each class and component."""
     percent = round(limit * 100)
@@ -285,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ties = found.where(F.col("tie").isNotNull()).select(F.col("node").alias("u"), F.col("tie").alias("v"))
     best = found.where(F.col("partner").isNotNull()).groupBy("node").agg(F.min_by("partner", F.struct("apart", "partner")).alias("partner"))
     first = best.select(F.least("node", "partner").alias("u"), F.greatest("node", "partner").alias("v")).distinct()
-    clusters = cut_lineage(components(ties.union(first)).withColumnRenamed("root", "cluster"))
+    clusters = cut_lineage(_clusters(first, ties.distinct()))
     sets = cut_lineage(_sets(picked, clusters.select("node"), size))
     links = cut_lineage(_confirm(first, sets, limit))
     roots = components(links)
