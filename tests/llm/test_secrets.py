@@ -1,7 +1,9 @@
 """Recursive secret scan against hand-made layers and a plain scan."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import re
 import urllib.parse
@@ -72,6 +74,53 @@ def test_ends_on_cycles_and_noise():
     assert find_secrets("%25" * 2000)[1] == []
 
 
+def wrap(coded, width, end="\n"):
+    return end.join(coded[i : i + width] for i in range(0, len(coded), width))
+
+
+def test_base64_over_line_ends():
+    for before in range(40, 80):
+        inner = b"n" * before + b" password=hunter2hunter2 " + b"z" * 90
+        for width, end in ((64, "\n"), (76, "\r\n"), (76, "\\n"), (30, "\n  ")):
+            coded = wrap(base64.b64encode(inner).decode(), width, end)
+            text = f"ü Content: {coded}\nwords after"
+            a, z = (text.index(coded) + x for x in (before * 4 // 3, len(coded) - 100))
+            assert any(a - 2 <= s and e <= z + 20 and e - s >= 30 for s, e, k in spans_of(text) if k == "assign"), (before, width)
+
+
+def test_wrapped_compressed_base64():
+    inner = random.Random(2).randbytes(300).hex()[:299] + f"! {KEY} end"
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        coded = wrap(base64.b64encode(pack(inner.encode())).decode(), 64)
+        assert any(k == "access" for *_, k in spans_of(f"-----BEGIN DATA-----\n{coded}\n-----END DATA-----"))
+
+
+def test_compressed_bytes_in_percent_codes_and_escapes():
+    inner = f"{random.Random(3).randbytes(40).hex(' ')} {KEY} é".encode()
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        data = pack(inner)
+        for coded in (urllib.parse.quote(data), urllib.parse.quote_plus(data), "".join(f"%{b:02x}" for b in data), "".join(f"\\x{b:02x}" for b in data), repr(data)[2:-1], "".join(f"\\u{b:04x}" for b in data)):
+            text = f"ü v={coded}&x=1"
+            assert [k for s, e, k in spans_of(text) if s >= 4 and e <= 5 + len(coded)] == ["access"], (pack, coded[:40])
+
+
+def test_all_members_of_a_stream():
+    import zstandard
+
+    parts = [b"first words " * 9, f"second {KEY} ".encode(), b"password=hunter2hunter2"]
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        coded = base64.b64encode(b"".join(map(pack, parts))).decode()
+        assert {k for *_, k in spans_of(f"x {coded} y")} == {"assign", "access"}, pack
+
+
+def test_layers_that_are_no_clean_text():
+    for inner in (b"\0\x01" + KEY.encode() + b"\0", b"\xff\xfe password=hunter2hunter2", b"\x80" * 20 + b"token=abcdefgh" + b"\x07", b"\x08\x12" + gzip.compress(KEY.encode())):
+        (_, _, kind), = set(spans_of(f"x {base64.b64encode(inner).decode()} y"))
+        assert kind in ("access", "assign")
+    noise = random.Random(4).randbytes(3000)
+    assert find_secrets(base64.b64encode(noise).decode())[1:] == ([], 0, 0)
+
+
 def brute(text):
     found = [(m.start(), m.end(), "assign") for m in re.finditer(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 8]
     found += [(m.start(), m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
