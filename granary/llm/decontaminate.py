@@ -13,7 +13,9 @@ changed.
   a random function of step and word. Walks that meet after an edit stay together, so edit distance becomes
   Hamming distance. Each table has its own walk and samples ``BITS`` steps of it as a key; keys equal to an item's
   make a candidate.
-* The number of tables is taken from simulated edits of the items at the limit so that ``recall`` is reached.
+* Each window size has its own number of tables, taken from simulated edits at the limit so that ``recall`` is
+  reached on other simulated edits too. Where ``MAX_TABLES`` do not reach it, which is so for long windows, all
+  places that share enough word pairs are candidates, so that nothing is lost there.
 * Candidates are confirmed by the exact edit distance of the whole item to its best stretch near the window.
 
 The benchmark is taken in blocks of at most ``block_words`` words, whose tables are broadcast; documents are read
@@ -37,6 +39,7 @@ LIMIT = 0.2
 RECALL = 0.98
 MIN_WORDS = 8
 MAX_TABLES = 64
+TRIALS = 192
 COMMON = 8
 PIECE = 256
 BLOCK_WORDS = 1 << 18
@@ -95,8 +98,8 @@ class Block:
     size: np.ndarray  # window size of each piece
     need: np.ndarray  # word pairs of a piece that a window must have
     walk: np.ndarray  # (step, word) -> one bit for each table
-    steps: np.ndarray  # (table, BITS) sampled steps, as shares of a walk
-    keys: dict[int, tuple[np.ndarray, np.ndarray]]  # size -> sorted keys, piece of each
+    steps: dict[int, np.ndarray]  # size -> (table, BITS) sampled steps, as shares of a walk
+    keys: dict[int, tuple[np.ndarray, np.ndarray]]  # size -> sorted keys, piece of each; sizes without tables are not in
     limit: float
 
     def allowed(self, n: int) -> int:
@@ -121,24 +124,31 @@ def _embed(windows: np.ndarray, walk: np.ndarray, steps: np.ndarray) -> np.ndarr
     return key
 
 
-def _tables_for(pieces: list[np.ndarray], walk: np.ndarray, steps: np.ndarray, limit: float, recall: float, seed: int) -> int:
-    """Tables needed so that pieces edited up to the limit are found with the wanted chance."""
-    rng, by_size = np.random.default_rng(seed), {}
-    for i in rng.permutation(len(pieces))[:64]:
-        size = window_size(len(pieces[i]))
-        words = pieces[i][:size].tolist()
-        for _ in range(int(limit * len(words))):  # unknown words are 0
-            k, what = rng.integers(len(words)), rng.integers(3)
-            words = words[:k] + ([] if what == 0 else [0] if what == 1 else [0, words[k]]) + words[k + 1 :]
-        by_size.setdefault(size, []).append((pieces[i][:size], np.array((words + [0] * size)[:size], np.int64)))
-    found = [_embed(np.stack([x for x, _ in both]), walk, steps) == _embed(np.stack([y for _, y in both]), walk, steps) for both in by_size.values()]
-    found = np.concatenate(found, 1).T
-    # the chance that a table finds an edited piece, which differs from piece to piece
-    chance = np.clip((found.sum(1) + 0.5) / (found.shape[1] + 1), 1e-3, 1)
-    for tables in range(4, MAX_TABLES):
-        if (1 - (1 - chance) ** tables).mean() >= recall:
+def _edited(rng, piece: np.ndarray, size: int, edits: int) -> list[int]:
+    """The window of a piece after edits in it; words put in are 0, as are words past the end."""
+    words = piece.tolist()
+    for _ in range(edits):
+        k, what = rng.integers(min(size, len(words))), rng.integers(3)
+        words = words[:k] + ([] if what == 0 else [0] if what == 1 else [0, words[k]]) + words[k + 1 :]
+    return (words + [0] * size)[:size]
+
+
+def _tables_for(pieces: list[np.ndarray], size: int, walk: np.ndarray, steps: np.ndarray, limit: float, recall: float, seed: int) -> int | None:
+    """Tables needed so that pieces of a window size, edited up to the limit, are found with the wanted share.
+
+    The share must be reached on the edits that the number is taken from and on others. None: it is not reached.
+    """
+    rng = np.random.default_rng(seed)
+    picked = [pieces[i] for i in np.resize(rng.permutation(len(pieces)), TRIALS)]
+    plain = np.stack([x[:size] for x in picked])
+    near = np.array([_edited(rng, x, size, int(limit * len(x) + 1e-9)) for x in picked], np.int64)
+    same = _embed(plain, walk, steps) == _embed(near, walk, steps)
+    first = np.where(same.any(0), same.argmax(0) + 1, len(steps) + 1)  # tables until a trial is found
+    for tables in range(4, len(steps) + 1):
+        found = first <= tables
+        if found[: TRIALS // 3].mean() >= recall and found[TRIALS // 3 :].mean() >= recall:
             return tables
-    return MAX_TABLES
+    return None
 
 
 def make_block(items: list[tuple[int, list[str]]], limit: float = LIMIT, recall: float = RECALL, seed: int = 3) -> Block:
@@ -170,13 +180,15 @@ def make_block(items: list[tuple[int, list[str]]], limit: float = LIMIT, recall:
     sizes = set(size.tolist())
     rng = np.random.default_rng(seed)
     walk = rng.integers(0, 1 << 63, (3 * max(sizes), base), dtype=np.uint64) ^ (rng.integers(0, 2, (3 * max(sizes), base), dtype=np.uint64) << np.uint64(63))
-    steps = rng.random((MAX_TABLES, BITS)) * 0.6  # later steps mostly lie past the end of the words
-    tables = _tables_for(pieces, walk, steps, limit, recall, seed)
-    steps = steps[:tables]
-    keys = {}
+    sampled = rng.random((MAX_TABLES, BITS)) * 0.6  # later steps mostly lie past the end of the words
+    keys, steps = {}, {}
     for n in sorted(sizes):
         same = np.flatnonzero(size == n)
-        key = _embed(np.stack([pieces[k][:n] for k in same]), walk, steps).ravel()
+        tables = _tables_for([pieces[k] for k in same], n, walk, sampled, limit, recall, seed)
+        if tables is None:
+            continue
+        steps[n] = sampled[:tables]
+        key = _embed(np.stack([pieces[k][:n] for k in same]), walk, steps[n]).ravel()
         order = np.argsort(key, kind="stable")
         keys[n] = key[order], np.tile(same, tables)[order]
     return Block(vocab, pieces, np.array(owner), pairs, first, of_pair, size, need, walk, steps, keys, limit)
@@ -213,18 +225,22 @@ def matches(block: Block, texts: list[list[str]]) -> list[tuple[int, int, int, i
     windows_of = np.repeat(sizes, many)
     found: dict[tuple[int, int], list[int]] = {}
     for size in np.unique(sizes).tolist():
+        if size not in block.keys:
+            for k in np.flatnonzero(sizes == size).tolist():
+                found.setdefault((int(doc[pos[ok[k]]]), int(piece[ok[k]])), []).extend((int(least[k]), int(pos[ok[k]])))
+            continue
         starts = np.unique(spots[windows_of == size])
         keys, owner = block.keys[size]
         for a in range(0, len(starts), 20_000):
             s = starts[a : a + 20_000]
             cells = s[:, None] + np.arange(size)
             windows = np.where(cells < ends[doc[s]][:, None], codes[np.minimum(cells, len(codes) - 1)], -1)
-            got = _embed(windows, block.walk, block.steps).ravel()
+            got = _embed(windows, block.walk, block.steps[size]).ravel()
             low, high = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
             for k in np.flatnonzero(high > low):
                 start = int(s[k % len(s)])
-                for piece in set(owner[low[k] : high[k]].tolist()):
-                    found.setdefault((int(doc[start]), piece), []).append(start)
+                for p in set(owner[low[k] : high[k]].tolist()):
+                    found.setdefault((int(doc[start]), p), []).append(start)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for (d, piece), spots in found.items():
         item = block.items[piece]

@@ -91,6 +91,20 @@ def test_recall_and_precision_against_brute_force():
     assert found <= truth and len(found) >= 0.97 * len(truth)
 
 
+def test_long_items_among_short_ones_are_found():
+    """The wanted share holds for each length, not on the mean of a block of mostly short items."""
+    rng = random.Random(8)
+    word = lambda: f"r{rng.randrange(5000)}"
+    items = [(i, [word() for _ in range(12 if i < 400 else 200)]) for i in range(440)]
+    block = make_block(items)
+    for n in (12, 200):
+        own = [x for x in items if len(x[1]) == n] * (1 if n == 12 else 5)
+        texts = [[word() for _ in range(30)] + edit(rng, words, int(LIMIT * n)) + [word() for _ in range(30)] for _, words in own]
+        got = {(d, i) for d, i, *_ in matches(block, texts)}
+        truth = {(d, i) for d, (i, words) in enumerate(own) if slow_distance(words, texts[d]) <= int(LIMIT * n)}
+        assert len(truth) == len(own) and len(truth & got) >= 0.97 * len(truth), n
+
+
 def test_query_and_blocks(spark, frame):
     items, texts, planted = corpus(5)
     bench = frame([(i, " ".join(w).upper() + ".", "q") for i, w in items] + [(7, None, "q"), (None, "a b c d e f g h i", "q"), (900, "too short", "q")], "item_id long, text string, doc_id string")
