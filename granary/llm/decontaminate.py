@@ -16,7 +16,10 @@ changed.
 * Each window size has its own number of tables, taken from simulated edits at the limit so that ``recall`` is
   reached on other simulated edits too. Where ``MAX_TABLES`` do not reach it, which is so for long windows, all
   places that share enough word pairs are candidates, so that nothing is lost there.
-* Candidates are confirmed by the exact edit distance of the whole item to its best stretch near the window.
+* Candidates are confirmed by the exact edit distance of the whole item to its best stretch near the window. An item
+  over ``PIECE`` words is searched by pieces, of which one at least is within the limit if the item is.
+* Items of less than ``MIN_WORDS`` words are cut into one run of words more than they may have edits; one run stands
+  unchanged in any match, so places with an equal run are all there are.
 
 The benchmark is taken in blocks of at most ``block_words`` words, whose tables are broadcast; documents are read
 once per block and never shuffled.
@@ -100,6 +103,10 @@ class Block:
     walk: np.ndarray  # (step, word) -> one bit for each table
     steps: dict[int, np.ndarray]  # size -> (table, BITS) sampled steps, as shares of a walk
     keys: dict[int, tuple[np.ndarray, np.ndarray]]  # size -> sorted keys, piece of each; sizes without tables are not in
+    whole: np.ndarray  # index of the text of each piece
+    offset: np.ndarray  # where a piece begins in it
+    texts: list[np.ndarray]  # word codes of each item
+    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # words of a run of short items -> sorted keys, piece, place in it
     limit: float
 
     def allowed(self, n: int) -> int:
@@ -154,13 +161,24 @@ def _tables_for(pieces: list[np.ndarray], size: int, walk: np.ndarray, steps: np
 def make_block(items: list[tuple[int, list[str]]], limit: float = LIMIT, recall: float = RECALL, seed: int = 3) -> Block:
     vocab: dict[str, int] = {}
     coded = [(i, np.array([vocab.setdefault(w, len(vocab) + 1) for w in words], np.int64)) for i, words in items]
-    pieces, owner = [], []
-    for i, words in coded:
+    coded.sort(key=lambda x: len(x[1]) < MIN_WORDS)  # short items last
+    pieces, owner, whole, offset = [], [], [], []
+    for k, (i, words) in enumerate(coded):
         count = -(-len(words) // PIECE)
+        at = 0
         for part in np.array_split(words, count):
             pieces.append(part)
             owner.append(i)
+            whole.append(k)
+            offset.append(at)
+            at += len(part)
+    runs = _short_runs(pieces, limit)
+    everything = pieces, np.array(owner), np.array(whole), np.array(offset), [words for _, words in coded]
+    pieces = [p for p in pieces if len(p) >= MIN_WORDS]
     base = len(vocab) + 2
+    if not pieces:
+        none = np.zeros(0, np.int64)
+        return Block(vocab, *everything[:2], none, np.zeros(1, np.int64), none, none, none, np.zeros((0, base), np.uint64), {}, {}, *everything[2:], runs, limit)
     size = np.array([window_size(len(p)) for p in pieces])
     own = [p[: n - 1] * base + p[1:n] for p, n in zip(pieces, size)]
     code, at, count = np.unique(np.concatenate([np.unique(c) for c in own]), return_inverse=True, return_counts=True)
@@ -191,18 +209,78 @@ def make_block(items: list[tuple[int, list[str]]], limit: float = LIMIT, recall:
         key = _embed(np.stack([pieces[k][:n] for k in same]), walk, steps[n]).ravel()
         order = np.argsort(key, kind="stable")
         keys[n] = key[order], np.tile(same, tables)[order]
-    return Block(vocab, pieces, np.array(owner), pairs, first, of_pair, size, need, walk, steps, keys, limit)
+    return Block(vocab, *everything[:2], pairs, first, of_pair, size, need, walk, steps, keys, *everything[2:], runs, limit)
 
 
-def matches(block: Block, texts: list[list[str]]) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, edits, start, end) of the items found in texts, the best stretch of each in words."""
-    get = block.vocab.get
-    lens = np.array([len(t) for t in texts], np.int64)
-    codes = np.array([get(w, 0) for t in texts for w in t] or [0], np.int64)
-    doc = np.repeat(np.arange(len(texts)), lens)
-    if not len(doc):
-        return []
-    ends = np.cumsum(lens)
+def _run_keys(codes: np.ndarray, words: int) -> np.ndarray:
+    """Hash of the run of so many words at each place."""
+    key = np.full(max(0, len(codes) - words + 1), words, np.uint64)
+    for j in range(words):
+        key = mix(key * np.uint64(0x9FB21C651E98DF25) + (codes[j : j + len(key)] + 2).astype(np.uint64))
+    return key
+
+
+def _short_runs(pieces: list[np.ndarray], limit: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    rows: dict[int, list] = {}
+    for p, words in enumerate(pieces):
+        if len(words) < MIN_WORDS:
+            for part in np.array_split(np.arange(len(words)), min(len(words), int(limit * len(words) + 1e-9) + 1)):
+                rows.setdefault(len(part), []).append((int(_run_keys(words[part], len(part))[0]), p, int(part[0])))
+    out = {}
+    for n, got in rows.items():
+        got.sort()
+        key, piece, place = zip(*got)
+        out[n] = np.array(key, np.uint64), np.array(piece), np.array(place)
+    return out
+
+
+def _short_matches(block: Block, codes: np.ndarray, doc: np.ndarray, ends: np.ndarray, lens: np.ndarray) -> dict[tuple[int, int], list[int]]:
+    """The first best place of each short item in each text that is within its limit."""
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for words, (keys, piece, place) in block.runs.items():
+        got = _run_keys(codes, words)
+        at = np.flatnonzero(doc[: len(got)] == doc[words - 1 : words - 1 + len(got)])
+        low = np.searchsorted(keys, got[at], "left")
+        count = np.searchsorted(keys, got[at], "right") - low
+        at, low, count = at[count > 0], low[count > 0], count[count > 0]
+        total = np.cumsum(count)
+        cuts = np.searchsorted(total, np.arange(0, (int(total[-1]) if len(total) else 0) + 100_000, 100_000))
+        for x, z in zip(cuts, cuts[1:]):
+            c = count[x:z]
+            row = np.repeat(low[x:z], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            start = np.repeat(at[x:z], c) - place[row]
+            own, text = piece[row], doc[np.repeat(at[x:z], c)]
+            size = np.array([len(block.items[p]) for p in np.unique(own)])[np.unique(own, return_inverse=True)[1]] if len(own) else own
+            for n in np.unique(size).tolist():
+                k = np.flatnonzero(size == n)
+                allowed = block.allowed(n)
+                cells = (start[k] - allowed)[:, None] + np.arange(n + 2 * allowed)
+                inside = (cells >= (ends - lens)[text[k]][:, None]) & (cells < ends[text[k]][:, None])
+                window = np.where(inside, codes[np.clip(cells, 0, len(codes) - 1)], -1)
+                items, item = np.unique(own[k], return_inverse=True)
+                edits = _least_edits(np.stack([block.items[p] for p in items])[item], window)
+                for i in np.flatnonzero(edits <= allowed).tolist():
+                    pair, new = (int(text[k[i]]), int(own[k[i]])), (int(edits[i]), int(start[k[i]]))
+                    best[pair] = min(best.get(pair, new), new)
+    return {pair: [start] for pair, (_, start) in best.items()}
+
+
+def _least_edits(items: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Least edits from each row of items to a stretch of the same row of windows."""
+    row = [np.zeros(len(items), np.int64)] * (windows.shape[1] + 1)
+    for i in range(items.shape[1]):
+        new = [np.full(len(items), i + 1)]
+        for j in range(windows.shape[1]):
+            new.append(np.minimum(np.minimum(row[j] + (items[:, i] != windows[:, j]), row[j + 1] + 1), new[j] + 1))
+        row = new
+    return np.min(row, axis=0)
+
+
+def _long_matches(block: Block, codes: np.ndarray, doc: np.ndarray, ends: np.ndarray, lens: np.ndarray) -> dict[tuple[int, int], list[int]]:
+    """Places of candidates for each piece and text, by windows of the pieces."""
+    found: dict[tuple[int, int], list[int]] = {}
+    if not len(block.pairs):
+        return found
     base = len(block.vocab) + 2
     pair = codes[:-1] * base + codes[1:]
     at = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0) & (doc[:-1] == doc[1:]))
@@ -223,7 +301,6 @@ def matches(block: Block, texts: list[list[str]]) -> list[tuple[int, int, int, i
     sizes, many = block.size[piece[ok]], pos[ok] - least + 1
     spots = np.repeat(least, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     windows_of = np.repeat(sizes, many)
-    found: dict[tuple[int, int], list[int]] = {}
     for size in np.unique(sizes).tolist():
         if size not in block.keys:
             for k in np.flatnonzero(sizes == size).tolist():
@@ -241,7 +318,29 @@ def matches(block: Block, texts: list[list[str]]) -> list[tuple[int, int, int, i
                 start = int(s[k % len(s)])
                 for p in set(owner[low[k] : high[k]].tolist()):
                     found.setdefault((int(doc[start]), p), []).append(start)
+    return found
+
+
+def matches(block: Block, texts: list[list[str]]) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, edits, start, end) of the items found in texts, the best stretch of each in words."""
+    get = block.vocab.get
+    lens = np.array([len(t) for t in texts], np.int64)
+    codes = np.array([get(w, 0) for t in texts for w in t] or [0], np.int64)
+    doc = np.repeat(np.arange(len(texts)), lens)
+    if not len(doc):
+        return []
+    ends = np.cumsum(lens)
+    found = _long_matches(block, codes, doc, ends, lens) | _short_matches(block, codes, doc, ends, lens)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    wide: dict[tuple[int, int], list[list[int]]] = {}
+
+    def confirm(d, piece, item, a, z):
+        edits, start, stop = edit_distance(item, codes[a:z])
+        if edits <= block.allowed(len(item)):
+            key, begin = (d, int(block.owner[piece])), int(ends[d] - lens[d])
+            new = (edits, a + start - begin, a + stop - begin)
+            best[key] = min(best.get(key, new), new)
+
     for (d, piece), spots in found.items():
         item = block.items[piece]
         allowed = block.allowed(len(item))
@@ -255,26 +354,38 @@ def matches(block: Block, texts: list[list[str]]) -> list[tuple[int, int, int, i
                 runs[-1][1] = z
             else:
                 runs.append([a, z])
+        whole = block.texts[block.whole[piece]]
         for a, z in runs:
-            edits, start, stop = edit_distance(item, codes[a:z])
-            if edits <= allowed:
-                key = (d, int(block.owner[piece]))
-                new = (edits, a + start - begin, a + stop - begin)
-                best[key] = min(best.get(key, new), new)
+            if len(whole) == len(item):
+                confirm(d, piece, item, a, z)
+            elif edit_distance(item, codes[a:z])[0] <= allowed:
+                # the stretch that the whole item may take up around the piece
+                before, more = int(block.offset[piece]), 2 * block.allowed(len(whole))
+                around = [max(begin, a - before - more), min(end, z + len(whole) - before + more), piece]
+                wide.setdefault((d, int(block.whole[piece])), []).append(around)
+    for (d, k), around in wide.items():
+        runs = []
+        for a, z, piece in sorted(around):
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], z)
+            else:
+                runs.append([a, z, piece])
+        for a, z, piece in runs:
+            confirm(d, piece, block.texts[k], a, z)
     return [(d, item, *rest) for (d, item), rest in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: float = LIMIT, recall: float = RECALL, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS):
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: float = LIMIT, recall: float = RECALL, min_words: int = 1, block_words: int = BLOCK_WORDS):
     """Blocks of the items in order of their ids, read one after the other.
 
-    Items of less than ``min_words`` words are left out: so short a passage is common speech. NULL texts, NULL
-    ids and repeated rows are left out too.
+    Items without a word are left out, and those of less than ``min_words`` words where the caller wants that. NULL
+    texts, NULL ids and repeated rows are left out too.
     """
     rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).distinct()
     part, size = [], 0
     for row in rows.orderBy("id", "text").toLocalIterator():
         words = normal_words(row.text)
-        if len(words) < min_words:
+        if len(words) < max(1, min_words):
             continue
         if part and size + len(words) > block_words:
             yield make_block(part, limit, recall)

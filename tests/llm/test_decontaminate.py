@@ -105,6 +105,33 @@ def test_long_items_among_short_ones_are_found():
         assert len(truth) == len(own) and len(truth & got) >= 0.97 * len(truth), n
 
 
+def test_short_items_against_brute_force(frame):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(4)}"
+    items = [(i, [word() for _ in range(1 + i % 9)]) for i in range(60)]
+    texts = [[word() for _ in range(rng.randrange(0, 14))] for _ in range(200)]
+    bench = frame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    docs = frame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.distance, r.start_word, r.end_word) for r in contaminated(docs, bench).collect() if r.item_id % 9 < 7}
+    want = {(d, i): slow_distance(w, t) for i, w in items if len(w) < 8 for d, t in enumerate(texts)}
+    want = {k: n for k, n in want.items() if n <= int(LIMIT * len(items[k[1]][1]))}
+    assert {k: n for k, (n, _, _) in got.items()} == want and {n for n in want.values()} == {0, 1}
+    assert all(levenshtein(items[i][1], texts[d][s:e]) == n for (d, i), (n, s, e) in got.items())
+    assert {r.doc_id for r in drop_contaminated(docs, bench.where("length(text) > 14 and item_id % 9 < 7")).collect()} == set(range(200)) - {d for d, i in want if len(" ".join(items[i][1])) > 14}
+
+
+def test_long_items_are_taken_whole():
+    rng = random.Random(12)
+    word = lambda: f"r{rng.randrange(5000)}"
+    item = [word() for _ in range(700)]
+    own = [word() for _ in range(50)]
+    texts = [own + item[:260] + own, own + item[300:560] + own, own + edit(rng, item, 130) + own, own + item + own, item[20:]]
+    got = matches(make_block([(4, item)]), texts)
+    assert [d for d, *_ in got] == [2, 3, 4]
+    assert [slow_distance(item, texts[d]) for d, *_ in got] == [n for _, _, n, _, _ in got]
+    assert got[1] == (3, 4, 0, 50, 750)
+
+
 def test_query_and_blocks(spark, frame):
     items, texts, planted = corpus(5)
     bench = frame([(i, " ".join(w).upper() + ".", "q") for i, w in items] + [(7, None, "q"), (None, "a b c d e f g h i", "q"), (900, "too short", "q")], "item_id long, text string, doc_id string")
