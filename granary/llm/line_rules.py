@@ -4,9 +4,9 @@ Lines are normalised (A-Z in lower case, words joined by one space) and hashed t
 distinct documents of each (host, line) are counted; a line in more than ``max_docs`` documents of its host is
 removed from them, and a document that keeps too small a share of its words is rejected as depleted.
 
-A document gives one row per distinct line, so a count of rows is a count of documents, and it is partly
-aggregated before the exchange: a line that stands in every document of a hot host costs one row per task. Only
-the lines above the limit meet the lines of the documents again, in a join whose hot keys Spark splits.
+A document gives one row per distinct line. Repeated rows are made one by (line, document), keys that spread a hot
+line over all tasks, and the count is partly aggregated before its exchange. Only the lines above the limit meet
+the lines of the documents again, in a join whose hot keys Spark splits.
 """
 
 from __future__ import annotations
@@ -58,8 +58,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
     def make():
         def run(cols):
-            keys, codes, sizes = [], [], []
-            for key, host, text in zip(cols["key"].to_pylist(), cols["host"].to_pylist(), cols["text"].to_pylist()):
+            keys, docs, codes, sizes = [], [], [], []
+            for key, doc, host, text in zip(*(cols[c].to_pylist() for c in ("key", "doc", "host", "text"))):
                 found: dict[bytes, int] = {}
                 for line in (text or b"").split(b"\n"):
                     words = line.lower().split()
@@ -69,13 +69,14 @@ def _lines(docs: DataFrame) -> DataFrame:
                 mark = b"0" if host is None else b"1" + host + b"\n"
                 for norm, size in found.items():
                     keys.append(key)
+                    docs.append(doc)
                     codes.append(xxhash.xxh3_128_digest(mark + norm))
                     sizes.append(size)
-            return {"key": keys, "line": codes, "size": sizes}
+            return {"key": keys, "doc": docs, "line": codes, "size": sizes}
 
         return run
 
-    return map_batches(docs, "key string, line binary, size int", make)
+    return map_batches(docs, "key string, doc long, line binary, size int", make)
 
 
 def line_rules(
@@ -90,13 +91,16 @@ def line_rules(
 ) -> DataFrame:
     """One row per document: measures, ``base_failed``, ``n_removed_words``, ``depleted`` and ``kept``.
 
-    Every row is a document, so a repeated row counts again for the lines it has. NULL or empty text has no words
-    and fails the base rules. A NULL host is a host of its own. Other columns are not read.
+    Rows of one id are one document: repeated rows count once for a line of their host, and each gets its own result.
+    Rows without an id are documents of their own unless text and host are equal. NULL or empty text has no words and
+    fails the base rules. A NULL host is a host of its own. Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     # the key leads lines back to their rows, also where ids are missing or repeated with other texts
     key = F.concat_ws(":", F.col(id_col).cast("string"), F.hex(F.crc32(utf8(text_col))), F.hex(F.crc32(utf8(host_col))), F.when(F.col(id_col).isNull(), F.sha2(utf8(text_col), 256)))
-    picked = docs.select(F.col(id_col).alias("id"), key.alias("key"), utf8(host_col).alias("host"), utf8(text_col).alias("text"))
+    # what counts as a document: its id, or the row itself where it has none
+    doc = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), key))
+    picked = docs.select(F.col(id_col).alias("id"), key.alias("key"), doc.alias("doc"), utf8(host_col).alias("host"), utf8(text_col).alias("text"))
 
     def make():
         def run(cols):
@@ -107,8 +111,9 @@ def line_rules(
 
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     measured = map_batches(picked.select("id", "key", "text"), f"id {kind}, key string, " + ", ".join(f"{n} long" for n in names), make)
-    lines = _lines(picked.select("key", "host", "text"))
-    common = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select("line")
+    lines = _lines(picked.select("key", "doc", "host", "text"))
+    # copies of a row give its lines again: a document counts once for a line of its host
+    common = lines.select("line", "doc").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select("line")
     removed = lines.join(common, "line").groupBy("key", "line").agg(F.max("size").alias("size"))
     removed = removed.groupBy("key").agg(F.sum("size").alias("removed"))
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))

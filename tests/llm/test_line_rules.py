@@ -30,9 +30,9 @@ def test_measures_against_brute_force():
 
 
 def brute(rows, max_docs):
-    docs = defaultdict(int)
+    docs = defaultdict(set)
     lines = []
-    for _, text, host in rows:
+    for i, text, host in rows:
         own = Counter()
         for line in (text or "").split("\n"):
             w = re.findall(r"[^\x20\x09-\x0D]+", line)
@@ -40,11 +40,11 @@ def brute(rows, max_docs):
                 own[" ".join(w).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))] += len(w)
         lines.append(own)
         for norm in own:
-            docs[host, norm] += 1
+            docs[host, norm].add((text, host) if i is None else i)
     out = []
     for (i, text, host), own in zip(rows, lines):
         n, *_, repeat = brute_measures(text)
-        removed = sum(size for norm, size in own.items() if docs[host, norm] > max_docs)
+        removed = sum(size for norm, size in own.items() if len(docs[host, norm]) > max_docs)
         failed = n < 50 or 100 * repeat > 50 * n
         out.append((str(i), n, removed, failed, not failed and n - removed >= 0.5 * n))
     return sorted(out)
@@ -67,6 +67,15 @@ def test_removal_and_rejection(frame):
     assert any(r.depleted and not r.base_failed for r in got) and any(r.kept and r.n_removed_words for r in got)
 
 
+def test_repeated_rows_are_one_document(frame):
+    text = "\n".join(" ".join(f"w{k}x{j}" for j in range(13)) for k in range(5))
+    rows = [(7, text, "h")] * 150 + [(8, text, "h"), (None, text, "h"), (None, text, "h")]
+    got = line_rules(frame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 153 and all(r.kept and r.n_removed_words == 0 for r in got)
+    got = line_rules(frame(rows, "doc_id long, text string, source string"), max_docs=2).collect()
+    assert all(r.depleted and r.n_removed_words == 65 for r in got)
+
+
 def test_empty_table(frame):
     assert line_rules(frame([], "doc_id long, text string, source string")).collect() == []
 
