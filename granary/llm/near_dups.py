@@ -219,6 +219,17 @@ def _confirm(pairs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
     return map_batches(both.select("u", "v", "a", "b"), "u long, v long", make).distinct()
 
 
+def _star(ties: DataFrame) -> DataFrame:
+    """The same parts as the ties (node, tie) with about one pair a node.
+
+    A node keeps its least tie, and its other ties (one a tree at most) are tied to that one. Ties are the smallest
+    classes of parts, so the pairs among them are few however many nodes a part has.
+    """
+    own = ties.groupBy("node").agg(F.collect_set("tie").alias("all")).select("node", "all", F.array_min("all").alias("least"))
+    rest = own.where(F.size("all") > 1).select(F.explode("all").alias("u"), F.col("least").alias("v")).where(F.col("u") != F.col("v"))
+    return own.select(F.col("node").alias("u"), F.col("least").alias("v")).union(rest.distinct())
+
+
 def _clusters(first: DataFrame, ties: DataFrame) -> DataFrame:
     """(node, cluster) by best pairs and ties. Ties repeat what most best pairs say, so they are contracted first."""
     near = cut_lineage(components(first))
@@ -301,10 +312,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = [f"k{d}" for d in range(levels)]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cut_lineage(_partners(trees.repartitionByRange(parts, *order).sortWithinPartitions(*order), limit))
-    ties = found.where(F.col("tie").isNotNull()).select(F.col("node").alias("u"), F.col("tie").alias("v"))
+    ties = _star(found.where(F.col("tie").isNotNull()).select("node", "tie"))
     best = found.where(F.col("partner").isNotNull()).groupBy("node").agg(F.min_by("partner", F.struct("apart", "partner")).alias("partner"))
     first = best.select(F.least("node", "partner").alias("u"), F.greatest("node", "partner").alias("v")).distinct()
-    clusters = cut_lineage(_clusters(first, ties.distinct()))
+    clusters = cut_lineage(_clusters(first, ties))
     sets = cut_lineage(_sets(picked, clusters.select("node"), size))
     links = cut_lineage(_confirm(first, sets, limit))
     roots = components(links)
