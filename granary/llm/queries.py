@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import decontaminate, html_text, language, line_rules, lm, near_dups, packing, quality, secrets, substrings
+from granary.llm import decontaminate, html_text, language, line_rules, lm, near_dups, packing, quality, secrets, substrings, toxicity
 from granary.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op9(spark, folder):
 @query("op10_quality")
 def op10(spark, folder):
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_toxicity")
+def op13(spark, folder):
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
