@@ -1,4 +1,4 @@
-"""Connected components of a table of links by alternating star contractions."""
+"""Connected components of a table of links by repeated contraction."""
 
 from __future__ import annotations
 
@@ -8,33 +8,39 @@ from pyspark.sql import functions as F
 from granary.session import cut_lineage
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are linked to its least neighbour."""
+def _labels(edges: DataFrame, turn: int) -> DataFrame:
+    """(node, label): the node of least rank among a node and its neighbours; ranks are ids or, every other turn, hashes."""
+    rank = (lambda c: F.col(c)) if turn % 2 == 0 else (lambda c: F.xxhash64(c, F.lit(turn)))
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
+    least = both.groupBy("u").agg(F.min(F.struct(rank("v").alias("k"), "v")).alias("m"))
+    return least.select(F.col("u").alias("node"), F.when(F.col("m.k") < rank("u"), F.col("m.v")).otherwise(F.col("u")).alias("label"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours are linked to the least of them; edges have u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+def _pairs(edges: DataFrame) -> DataFrame:
+    return edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node in ``links`` (u, v): the root is the least node that can be reached.
+    """(node, root) of every node in ``links`` (u, v) with another one: the root is the least node that can be reached.
 
-    Works in a number of rounds that grows with the logarithm of the longest chain; each round is a written
-    table, and the minimum of a node's neighbours is partly aggregated, so a hub is no hot task.
+    Each turn merges nodes into the neighbour of least rank and keeps only the links between what is left, so later
+    turns are small: a hub takes its neighbours in at once, and a chain loses a constant share of its nodes to the
+    hashed ranks, so the number of turns is logarithmic. Labels and links are written tables; the least neighbour is
+    partly aggregated, so a hub is no hot task.
     """
-    edges = links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, before = cut_lineage(edges), None
-    while True:
-        row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if row == before:
-            break
-        before = row
-        edges = cut_lineage(_small_star(_large_star(edges)))
-    # every edge now leads from a node to its root
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    edges, levels = cut_lineage(_pairs(links)), []
+    while not edges.isEmpty():
+        labels = cut_lineage(_labels(edges, len(levels)))
+        levels.append(labels)
+        ends = {c: labels.select(F.col("node").alias(f"{c}_node"), F.col("label").alias(f"{c}_label")) for c in ("u", "v")}
+        moved = edges.join(ends["u"], F.col("u") == F.col("u_node")).join(ends["v"], F.col("v") == F.col("v_node"))
+        edges = cut_lineage(_pairs(moved.select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))))
+    if not levels:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    found = levels[-1]
+    for labels in levels[-2::-1]:
+        later = found.select(F.col("node").alias("at"), F.col("label").alias("next"))
+        found = labels.join(later, F.col("label") == F.col("at"), "left").select("node", F.coalesce("next", "label").alias("label"))
+    found = cut_lineage(found)
+    least = found.groupBy("label").agg(F.min("node").alias("root"))
+    return found.join(least, "label").select("node", "root")
