@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import decontaminate, html_text, language, line_rules, lm, near_dups, packing, quality, secrets, spelling, substrings, toxicity
+from granary.llm import decontaminate, html_text, language, line_rules, lm, near_dups, packing, prefix_trie, quality, secrets, spelling, substrings, toxicity
 from granary.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,11 @@ def op11(spark, folder):
     return spelling.spelling_variants(table(spark, folder, "documents"))
 
 
+@query("op12_prefix_trie", prefix_trie.ORACLE)
+def op12(spark, folder):
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 @query("op13_toxicity")
 def op13(spark, folder):
     return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
