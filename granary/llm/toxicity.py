@@ -1,7 +1,7 @@
 """Toxicity of texts: logistic regression on hashed word n-grams and skip-grams, trained by FTRL-proximal.
 
 Words are cut at white space, put in lower case (A-Z) and freed of ASCII marks at both ends. A text's features are
-the distinct words, word pairs, word triples and pairs with one word skipped, hashed to ``DIM`` coordinates; each is
+the distinct words, word pairs and pairs with one word skipped, hashed to ``DIM`` coordinates; each is
 there or not, so one insult counts as much in a long text as in a short one. Every coordinate has a learning rate of
 its own, and the L1 bound leaves most weights at exactly zero, so the model that reaches the executors is a short
 list of (coordinate, weight).
@@ -38,7 +38,7 @@ def features(text: bytes | None, codes: WordCodes) -> np.ndarray:
         return np.empty(0, np.int64)
     c = codes.of(tokens)
     skips = mix(c[:-2] * np.uint64(0x9E3779B97F4A7C15) + mix(c[2:])) if len(c) > 2 else np.empty(0, np.uint64)
-    grams = [window_codes(c, n, n) for n in (1, 2, 3)]
+    grams = [window_codes(c, n, n) for n in (1, 2)]
     return np.unique((np.concatenate([*grams, skips]) >> np.uint64(64 - BITS)).astype(np.int64))
 
 
@@ -91,22 +91,36 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, per_label: int, shards: int, seed: int) -> DataFrame:
-    """(id, label, shard, at) of the sample; only its ids (at most 2 x ``per_label``) are broadcast."""
+    """The sample as one row per shard, so no task of a later round gets a part of one.
+
+    Only the sample's ids (at most 2 x ``per_label``) are broadcast.
+    """
     clean = labels.where(learn).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     clean = clean.where(F.col("id").isNotNull() & F.col("label").isin(0, 1)).groupBy("id").agg(F.max("label").alias("label"))
     sample = bounded_sample(clean, "label", "id", per_label, seed).select("id", "label")
     picked = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).join(F.broadcast(sample), "id")
-    picked = picked.select(F.col("id").cast("string").alias("id"), "label", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)).cast("int").alias("shard"), "text")
+    picked = picked.select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)).cast("int").alias("shard"), F.col("id").cast("string").alias("id"), "label", "text")
 
-    def make():
-        codes = WordCodes()
+    def pack(batches):
+        codes, rows = WordCodes(), {}
+        for batch in batches:
+            for shard, *row, text in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.setdefault(shard, []).append((*row, features(text, codes).astype(np.int32)))
+        for shard, of in rows.items():
+            ends = np.cumsum([len(at) for *_, at in of])
+            columns = [[shard], [[i for i, *_ in of]], [[label for _, label, _ in of]], [ends], [np.concatenate([at for *_, at in of]).tobytes()]]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "ids", "labels", "ends", "at"])
 
-        def run(cols):
-            return {"id": cols["id"], "label": cols["label"], "shard": cols["shard"], "at": [features(t, codes) for t in cols["text"].to_pylist()]}
+    kinds = (pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
+    dealt = picked.repartition(shards, "shard").sortWithinPartitions("shard", "id", "text")
+    return cut_lineage(dealt.mapInArrow(pack, "shard int, ids array<string>, labels array<int>, ends array<long>, at binary"))
 
-        return run
 
-    return cut_lineage(map_batches(picked, "id string, label int, shard int, at array<int>", make))
+def _shards(batches):
+    """(ids, labels, coordinates by text) of each packed shard."""
+    for batch in batches:
+        for ids, labels, ends, at in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+            yield ids, labels, np.split(np.frombuffer(at, np.int32).astype(np.int64), ends[:-1])
 
 
 def train(
@@ -116,7 +130,7 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    per_label: int = 4000,
+    per_label: int = 2000,
     min_docs: int = 3,
     shards: int = 4,
     rounds: int = 6,
@@ -128,27 +142,31 @@ def train(
     examples every score is 0.01, with nothing else 0.99.
     """
     rows = training_rows(docs, labels, learn, id_col, text_col, label_col, per_label, shards, seed)
-    known = {r.label for r in rows.select("label").distinct().collect()}
+    known = {r.label for r in rows.select(F.explode("labels").alias("label")).distinct().collect()}
     if known != {0, 1}:
         return Model(np.empty(0, np.int64), np.empty(0), float(np.log(99) if known == {1} else -np.log(99)))
-    often = rows.select(F.explode("at").alias("at")).groupBy("at").count().where(F.col("count") >= min_docs).select("at").toArrow()
+
+    def count(batches):
+        for _, _, texts in _shards(batches):
+            at, n = np.unique(np.concatenate(texts), return_counts=True)
+            yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["at", "n"])
+
+    often = rows.mapInArrow(count, "at int, n int").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("at").toArrow()
     common, state = np.zeros(DIM, bool), State()
     common[often["at"].to_numpy()] = True
-    spread = rows.repartition(shards, "shard").sortWithinPartitions("id")
     for step in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast((common, state.z, state.n))
 
         def learn_shard(batches, sent=sent, step=step):
             common, *before = sent.value
-            own = State(*(a.copy() for a in before))
-            texts = [t for b in batches for t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False))]
-            for _, label, at in sorted(texts, key=lambda t: zlib.crc32(f"{step}:{t[0]}".encode())):
-                at = np.asarray(at, np.int64)
-                own.learn(np.append(at[common[at]], DIM), label)
-            at = np.flatnonzero(own.n != before[1])
-            yield pa.record_batch([pa.array(at), pa.array(own.z[at]), pa.array(own.n[at])], names=["at", "z", "n"])
-
-        made = spread.select("id", "label", "at").mapInArrow(learn_shard, "at long, z double, n double")
+            for ids, labels, texts in _shards(batches):
+                own = State(*(a.copy() for a in before))
+                for i in sorted(range(len(ids)), key=lambda i: zlib.crc32(f"{step}:{ids[i]}".encode())):
+                    own.learn(np.append(texts[i][common[texts[i]]], DIM), labels[i])
+                at = np.flatnonzero(own.n != before[1])
+                yield pa.record_batch([pa.array(at), pa.array(own.z[at]), pa.array(own.n[at])], names=["at", "z", "n"])
+
+        made = rows.mapInArrow(learn_shard, "at long, z double, n double")
         total = made.groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
         sent.unpersist()
         at = total["at"].to_numpy()

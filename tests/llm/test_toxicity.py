@@ -28,10 +28,10 @@ def make(seed, n=1200):
     return docs, labels
 
 
-def test_features_are_words_pairs_triples_and_skips():
+def test_features_are_words_pairs_and_skips():
     codes = WordCodes()
     a = features(b"One, two THREE four", codes)
-    assert len(a) == 4 + 3 + 2 + 2  # no two of these collide
+    assert len(a) == 4 + 3 + 2  # no two of these collide
     assert np.array_equal(a, features(b"  one two! (three)\tFour. -- ", codes))
     assert set(features(b"one two three", codes)) <= set(a)
     assert not len(features(None, codes)) and not len(features(b" ...\n", codes))
