@@ -13,12 +13,13 @@ from granary.catalog.standins import (
     polygon_table,
     sites,
 )
-from granary.catalog.topics import K, SEED, TOPICS_SQL, stopword_table
+from granary.catalog.topics import K, TOPICS_SQL, stopword_table
+from granary.catalog.topics import SEED as TOPIC_SEED
 from granary.functions import paste, row_sum
 from granary.operators.sets import union_by_name
 from granary.operators.survey import margin_band, moe_shares
 from granary.plans.case_study import case_study_options, similar_sites
-from granary.plans.comments import comment_sample, comment_topics, grant_sample
+from granary.plans.comments import comment_sample, comment_topics, grant_sample, sample_by_region
 from granary.plans.disbursement import (
     award_spans,
     disbursals,
@@ -582,35 +583,44 @@ def pip_enrollment(t):
 )
 def pip_topics(t):
     comments = t.documents.withColumn("is_long", F.col("n_chars") > 1000)
-    found = comment_topics(comments, "doc_id", "text", ["lang", "is_long"], K, SEED, stopword_table(t))
+    found = comment_topics(comments, "doc_id", "text", ["lang", "is_long"], K, TOPIC_SEED, stopword_table(t))
     by_lang = found["by_lang"].withColumnRenamed("lang", "grp")
     by_size = found["by_is_long"].select(F.col("is_long").cast("string").alias("grp"), "topic", "avg_gamma")
     return union_by_name(by_lang, by_size).withColumn("avg_gamma", F.round("avg_gamma", 6))
 
 
-@query(
-    "pip_sample",
-    f"""
-    with g as (select cast(c_custkey as varchar) as grant_id, cast(c_nationkey as varchar) as region from customer
-               where cast(c_nationkey as varchar) not in ('Totals', '12', '13')),
+SAMPLE_SQL = f"""
+    g as (select cast(c_custkey as varchar) as grant_id, cast(c_nationkey as varchar) as region from customer
+          where cast(c_nationkey as varchar) not in ('Totals', '12', '13')),
     sizes as (select region, cast(ceil(count(*) / sum(count(*)) over () * 400) as bigint) as n_sample from g group by 1),
-    drawn as (select grant_id from (
-        select grant_id, n_sample, row_number() over (partition by g.region order by md5(grant_id || '|{SEED}'), grant_id) as r
-        from g join sizes s on g.region = s.region) where r <= n_sample)
-    select o_orderkey, cast(o_custkey as varchar) as grant_id from orders
-    where o_totalprice / 250000 < 1 and cast(o_custkey as varchar) in (select grant_id from drawn)
-    """,
-)
-def pip_sample(t):
-    grants = t.customer.select(
-        F.col("c_custkey").cast("string").alias("grant_id"), F.col("c_nationkey").cast("string").alias("region")
-    )
+    drawn as (select grant_id, region from (
+        select grant_id, g.region, n_sample, row_number() over (partition by g.region order by md5(grant_id || '|{SEED}'), grant_id) as r
+        from g join sizes s on g.region = s.region) where r <= n_sample),
+    comments as (
+        select region, grant_id, cast(date_trunc('month', o_orderdate) as date) as report_month, o_orderkey
+        from orders join drawn on cast(o_custkey as varchar) = grant_id where o_totalprice / 250000 < 1)
+"""
+
+
+def _comment_sample(t):
+    grants = t.customer.select(F.col("c_custkey").cast("string").alias("grant_id"), F.col("c_nationkey").cast("string").alias("region"))
     comments = t.orders.select(
         "o_orderkey",
         F.col("o_custkey").cast("string").alias("grant_id"),
+        F.trunc("o_orderdate", "month").alias("report_month"),
         (F.col("o_totalprice") / 250000).alias("slots_pct_reported_over_funded"),
     )
-    return comment_sample(comments, grant_sample(grants)).select("o_orderkey", "grant_id")
+    return comment_sample(comments, grant_sample(grants)).select("region", "grant_id", "report_month", "o_orderkey")
+
+
+@query("pip_sample", f"with {SAMPLE_SQL} select * from comments order by region, grant_id, report_month")
+def pip_sample(t):
+    return _comment_sample(t)
+
+
+@query("pip_sample_regions", f"with {SAMPLE_SQL} select region, count(*) as n, count(*) / sum(count(*)) over () as pct from comments group by region")
+def pip_sample_regions(t):
+    return sample_by_region(_comment_sample(t))
 
 
 # ---- population -------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import not_in
 from granary.operators.aggregate import count_by_group
+from granary.operators.joins import left_join_na
 from granary.operators.sampling import rows_of_sample, sample_balance, strata_sizes, stratified_sample
 from granary.operators.topics import ROUNDS, beta, document_terms, fit_topics, gamma, mean_by_group, top_terms, topic_map
 
@@ -42,11 +43,17 @@ def grant_sample_balance(grants: DataFrame, sample: DataFrame, n: int = 400, exc
 
 
 def comment_sample(comments: DataFrame, sample: DataFrame, under_enrolled: Column | None = None) -> DataFrame:
-    """Comments of sampled grants in months with fewer reported than funded."""
+    """Comments of sampled grants in months with fewer reported than funded, by region, grant and month.
+
+    The region is the grant's, from the sample; ``comments`` needs none.
+    """
     if under_enrolled is None:
         under_enrolled = F.col("slots_pct_reported_over_funded") < 1
-    return rows_of_sample(comments, sample, "grant_id", under_enrolled)
+    regions = sample.select("grant_id", "region").dropDuplicates(["grant_id"])
+    kept = left_join_na(rows_of_sample(comments.drop("region"), sample, "grant_id", under_enrolled), regions, "grant_id")
+    return kept.orderBy(F.asc_nulls_last("region"), F.asc_nulls_last("grant_id"), F.asc_nulls_last("report_month"))
 
 
 def sample_by_region(sample: DataFrame) -> DataFrame:
+    """Comments of the sample and their share, per region."""
     return count_by_group(sample, "region")

@@ -227,8 +227,12 @@ def test_comment_sample(frame):
     listed = frame(rows, "region string, grant_id string")
     sample = comments.grant_sample(listed, n=10)
     assert {r.region: r["count"] for r in sample.groupBy("region").count().collect()} == {"1": 5, "2": 5, None: 1}
-    notes = listed.withColumn("slots_pct_reported_over_funded", F.when(F.col("region") == "1", 0.5).otherwise(1.0))
-    assert comments.comment_sample(notes, sample).count() == 5
+    notes = listed.withColumn("slots_pct_reported_over_funded", F.when(F.col("region").isin("1", "2"), 0.5).otherwise(1.0))
+    months = notes.withColumn("report_month", F.explode(F.array(F.lit("2022-02"), F.lit("2022-01"))))
+    got = [(r.region, r.grant_id, r.report_month) for r in comments.comment_sample(months, sample).collect()]
+    assert len(got) == 20 and got == sorted(got)
+    by_region = comments.sample_by_region(comments.comment_sample(months, sample)).collect()
+    assert [(r.region, r.n, r.pct) for r in by_region] == [("1", 10, 0.5), ("2", 10, 0.5)]
 
 
 def test_population_dimensions(frame):
