@@ -277,7 +277,7 @@ def pip_site_enrich(t):
         F.concat(F.lit("N"), "n_nationkey").alias("nia_id"),
         *[high.alias(c) for c in ("risk_ratng", "hrcn_riskr", "trnd_riskr", "wfir_riskr")],
     )
-    done = add_tracts(placed, polygon_table(t), fallback, hazards, cell=20.0)
+    done = add_tracts(placed, polygon_table(t), fallback, hazards)
     return done.select(
         "location_id", "state_code", "geocode_source", "building_type", "tract_fips", "nia_id", "hrcn_riskr"
     )

@@ -110,7 +110,7 @@ def geo_area_class(t):
         .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select("o_orderkey", "lon", "lat", F.col("n_name").alias("state_code"))
     )
-    placed = within_join(located, polygon_table(t, "ua_id"), "ua_id", "lon", "lat", cell=20.0)
+    placed = within_join(located, polygon_table(t, "ua_id"), "ua_id", "lon", "lat")
     return placed.select("o_orderkey", area_class("ua_id", "state_code", ["NATION_3", "NATION_8"]).alias("area_type"))
 
 

@@ -141,7 +141,7 @@ def jn_dim_broadcast(t):
     f"with {WITHIN_SQL} select p.o_orderkey, tract_fips from points p left join hits h on p.o_orderkey = h.o_orderkey",
 )
 def geo_within(t):
-    placed = within_join(points(t), polygon_table(t), "tract_fips", "lon", "lat", cell=20.0)
+    placed = within_join(points(t), polygon_table(t), "tract_fips", "lon", "lat")
     return placed.select("o_orderkey", "tract_fips")
 
 

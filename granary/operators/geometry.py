@@ -1,18 +1,30 @@
 """Points, polygons and the strictly-within spatial join.
 
 A polygon is a row with ``rings``: array<array<struct<x,y>>>, holes as further
-rings; a multipolygon is several rows with one id. Polygons are cut to the grid
-cells their bounding box touches, so points meet only polygons of their own cell
-(an equality join); the exact test runs inside that join.
+rings; a multipolygon is several rows with one id. Each row is cut into the cells of
+a quadtree of its own: a cell of more than ``SIDES`` sides is cut in four, each with
+the sides that touch it (at most one cut for each side of the polygon). A cell also knows whether its lower right corner lies
+inside, so a point in it is decided by the sides of the cell alone, and a cell
+without sides lies wholly inside or is left out. So a polygon has about as many
+cell sides as it has sides, whatever its area, and every point meets few of them.
+
+Cells are squares of a size 2^level, named by (level, column, row). Distinct places
+are looked up by equality of that name, for each level that any polygon has; the
+exact test runs inside that join.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections import deque
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from granary.functions.missing import ColumnOrName, as_col, is_in
 
@@ -47,85 +59,128 @@ def _edges(rings: Column) -> Column:
     return F.flatten(F.transform(rings, sides))
 
 
-def _inside(edges: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule; a point on a side is not inside."""
+def _turn(e, x, y):
+    """Positive if the point lies to the left of the side, zero if it lies on its line."""
+    return (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
 
-    def turn(e: Column) -> Column:
-        return (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
 
-    def on_side(e: Column) -> Column:
-        return (
-            (turn(e) == 0)
-            & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-            & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-        )
-
-    def crossed(e: Column) -> Column:
-        # the ray to the right crosses a side spanning y, if the point lies left of it
-        upward = e["y2"] > e["y1"]
-        return ((e["y1"] > y) != (e["y2"] > y)) & (upward == (turn(e) > 0))
-
-    odd = F.aggregate(
-        edges, F.lit(False), lambda parity, e: parity != crossed(e)
-    )
-    return ~F.exists(edges, on_side) & odd
-
-
-def default_cell(polygons: DataFrame) -> float:
-    """Cell size: the median larger side of the bounding boxes."""
-    box = polygons.select(*_box())
-    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    size = box.agg(F.percentile_approx(side, 0.5)).first()[0]
-    return size if size and math.isfinite(size) else 1.0
+def _right_of(e, x, y):
+    """Whether the side crosses the level of the point to the right of it."""
+    turn, upward = _turn(e, x, y), e["y2"] > e["y1"]
+    return ((e["y1"] > y) != (e["y2"] > y)) & ((upward & (turn > 0)) | (~upward & (turn < 0)))
 
 
-def _box() -> list[Column]:
-    corners = F.flatten("rings")
-    xs, ys = F.transform(corners, lambda p: p["x"]), F.transform(corners, lambda p: p["y"])
-    return [
-        F.array_min(xs).alias("x0"),
-        F.array_max(xs).alias("x1"),
-        F.array_min(ys).alias("y0"),
-        F.array_max(ys).alias("y1"),
-    ]
+def _above(e, x, y):
+    """Whether the side crosses the upright line through the point above it.
 
+    A point on the side is moved to the right by a trifle, so rising sides are above it.
+    """
+    turn, rightward = _turn(e, x, y), e["x2"] > e["x1"]
+    rising = (e["x2"] - e["x1"]) * (e["y2"] - e["y1"]) > 0
+    over = (rightward & (turn < 0)) | (~rightward & (turn > 0)) | ((turn == 0) & rising)
+    return ((e["x1"] > x) != (e["x2"] > x)) & over
 
-def polygon_cells(polygons: DataFrame, id: str, cell: float) -> DataFrame:
-    """Rows (id, cell_x, cell_y, parts): the parts of a polygon touching a cell."""
-
-    def cells(low: str, high: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
-
-    boxed = polygons.select(id, _edges(F.col("rings")).alias("edges"), *_box())
-    spread = boxed.withColumn("cell_x", cells("x0", "x1")).withColumn("cell_y", cells("y0", "y1"))
-    return spread.groupBy(id, "cell_x", "cell_y").agg(
-        F.collect_list(F.struct("x0", "x1", "y0", "y1", "edges")).alias("parts")
-    )
 
+def _inside(cell: Column, x: Column, y: Column) -> Column:
+    """Strictly inside: the way to the cell's corner, level first and then down, crosses sides of the cell only."""
 
-def within_join(
-    points: DataFrame, polygons: DataFrame, id: str, x: str, y: str, cell: float | None = None
-) -> DataFrame:
+    def on_side(e: Column) -> Column:
+        between = x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
+        return between & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])) & (_turn(e, x, y) == 0)
+
+    right, low = cell["right"], cell["low"]
+
+    def passed(parity: Column, e: Column) -> Column:
+        level = _right_of(e, x, y) != _right_of(e, right, y)
+        return parity != (level != (_above(e, right, y) != _above(e, right, low)))
+
+    odd = F.aggregate(cell["sides"], cell["inside"], passed)
+    return ~F.exists(cell["sides"], on_side) & odd
+
+
+SIDES = 32
+DEEPEST = 30
+
+
+def _odd(e: dict, x: float, y: float) -> bool:
+    return bool(np.count_nonzero(_right_of(e, x, y)) & 1)
+
+
+def quadtree(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, most: int = SIDES) -> Iterator[tuple]:
+    """Cells (level, column, row, inside, sides) of one polygon's sides; ``sides`` are indices."""
+    ends_x, ends_y = np.concatenate([x1, x2]), np.concatenate([y1, y2])
+    extent = max(np.ptp(ends_x), np.ptp(ends_y)) if len(x1) else 0.0
+    if not 0 < extent < np.inf:
+        return  # nothing lies inside
+    top, splits = int(np.ceil(np.log2(extent))), 0
+    size, all_ = 2.0**top, {"x1": x1, "y1": y1, "x2": x2, "y2": y2}
+    todo = deque()
+    for column in range(int(np.floor(ends_x.min() / size)), int(np.floor(ends_x.max() / size)) + 1):
+        for row in range(int(np.floor(ends_y.min() / size)), int(np.floor(ends_y.max() / size)) + 1):
+            todo.append((top, column, row, _odd(all_, (column + 1) * size, row * size), np.arange(len(x1))))
+    while todo:
+        level, column, row, inside, near = todo.popleft()  # large cells first
+        size = 2.0**level
+        left, right, low, high = column * size, (column + 1) * size, row * size, (row + 1) * size
+        e = {c: v[near] for c, v in all_.items()}
+        touch = (np.maximum(e["x1"], e["x2"]) >= left) & (np.minimum(e["x1"], e["x2"]) <= right) & (np.maximum(e["y1"], e["y2"]) >= low) & (np.minimum(e["y1"], e["y2"]) <= high)
+        corners = [_turn(e, x, y) for x in (left, right) for y in (low, high)]
+        touch &= ~(np.all([c > 0 for c in corners], axis=0) | np.all([c < 0 for c in corners], axis=0))
+        near, e = near[touch], {c: v[touch] for c, v in e.items()}
+        # sides on top of each other stay together in any cell, so there is an end to splitting
+        if len(near) <= most or level <= top - DEEPEST or splits > len(x1):
+            if len(near) or inside:
+                yield level, column, row, inside, near
+            continue
+        half, splits = size / 2, splits + 1
+        for i in (0, 1):
+            for j in (0, 1):
+                x, y = left + (i + 1) * half, low + j * half
+                # from the small cell's corner level to the right edge, then down to the corner that is known
+                way = (_right_of(e, x, y) != _right_of(e, right, y)) != (_above(e, right, y) != _above(e, right, low))
+                todo.append((level - 1, 2 * column + i, 2 * row + j, inside != bool(np.count_nonzero(way) & 1), near))
+
+
+def polygon_cells(polygons: DataFrame, id: str, most: int = SIDES) -> DataFrame:
+    """Rows (id, cell): level, column, row, corner, whether the corner is inside, and sides."""
+    schema = T.StructType([T.StructField("id", polygons.schema[id].dataType)] + T._parse_datatype_string(CELL).fields)
+    fields = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, *arrays in zip(batch.column(0), *(batch.column(i) for i in range(1, 5))):
+                sides = [np.asarray(a.values.to_numpy(zero_copy_only=False), float) for a in arrays]
+                whole = np.all([~np.isnan(a) for a in sides], axis=0)
+                sides = [a[whole] for a in sides]
+                for level, column, row, inside, near in quadtree(*sides, most):
+                    listed = [dict(zip(("x1", "y1", "x2", "y2"), s)) for s in zip(*(a[near].tolist() for a in sides))]
+                    out.append({"id": key.as_py(), "level": level, "column": column, "row": row, "right": (column + 1) * 2.0**level, "low": row * 2.0**level, "inside": inside, "sides": listed})
+            yield pa.RecordBatch.from_pylist(out, schema=fields)
+
+    sides = polygons.select(F.col(id), _edges(F.col("rings")).alias("e"))
+    cells = sides.select(id, *(F.col(f"e.{c}").alias(c) for c in ("x1", "y1", "x2", "y2"))).mapInArrow(run, schema)
+    return cells.select(F.col("id").alias(id), F.struct(*cells.columns[1:]).alias("cell"))
+
+
+CELL = "level int, column long, row long, right double, low double, inside boolean, sides array<struct<x1:double,y1:double,x2:double,y2:double>>"
+
+
+def within_join(points: DataFrame, polygons: DataFrame, id: str, x: str, y: str) -> DataFrame:
     """Left join of points to the polygons they lie strictly within.
 
-    Unmatched points keep a NULL id; a point in several polygons gives a row each.
+    Unmatched points, and points without a place, keep a NULL id; a point in several
+    polygons gives a row each. Polygons of one id are one, also where they overlap.
     """
-    cell = cell or default_cell(polygons)
-    cells = polygon_cells(polygons, id, cell).alias("c")
-    px, py = F.col(f"p.`{x}`"), F.col(f"p.`{y}`")
-    hit = F.exists(
-        F.col("c.parts"),
-        lambda part: px.between(part["x0"], part["x1"])
-        & py.between(part["y0"], part["y1"])
-        & _inside(part["edges"], px, py),
-    )
-    keyed = points.withColumns({"_cx": F.floor(F.col(x) / cell), "_cy": F.floor(F.col(y) / cell)})
-    joined = keyed.alias("p").join(
-        cells,
-        (F.col("p._cx") == F.col("c.cell_x")) & (F.col("p._cy") == F.col("c.cell_y")) & hit,
-        "left",
-    )
-    return joined.select(*[F.col(f"p.`{c}`") for c in points.columns], F.col(f"c.`{id}`"))
+    cells = polygon_cells(polygons, id)
+    levels = cells.agg(F.collect_set("cell.level").alias("levels"))  # one row: a level for each power of two in use
+    places = points.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null").distinct()
+    keyed = places.join(F.broadcast(levels)).select("_x", "_y", F.explode("levels").alias("_level"))
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    same = (F.col("_level") == F.col("cell.level")) & (F.floor(F.col("_x") / size) == F.col("cell.column")) & (F.floor(F.col("_y") / size) == F.col("cell.row"))
+    hits = keyed.join(cells, same & _inside(F.col("cell"), F.col("_x"), F.col("_y"))).select("_x", "_y", F.col(id).alias("_id")).distinct()
+    joined = points.join(hits, (F.col(x).cast("double") == F.col("_x")) & (F.col(y).cast("double") == F.col("_y")), "left")
+    return joined.select(*[points[c] for c in points.columns], F.col("_id").alias(id))
 
 
 def to_wgs84(x: ColumnOrName, y: ColumnOrName, crs: int = 3857) -> tuple[Column, Column]:

@@ -43,8 +43,8 @@ def poverty_by_tract(raw: DataFrame) -> DataFrame:
     )
 
 
-def area_types(sites: DataFrame, urban: DataFrame, cell: float | None = None) -> DataFrame:
-    placed = within_join(sites, urban, "ua_id", "lon", "lat", cell)
+def area_types(sites: DataFrame, urban: DataFrame) -> DataFrame:
+    placed = within_join(sites, urban, "ua_id", "lon", "lat")
     return placed.withColumn("area_type", area_class("ua_id", "state_code", ISOLATED))
 
 

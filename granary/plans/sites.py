@@ -76,10 +76,10 @@ def add_coordinates(sites: DataFrame, sources: Sequence[tuple[str, DataFrame]],
 
 
 def add_tracts(
-    sites: DataFrame, polygons: DataFrame, fallback: DataFrame, hazards: DataFrame, cell: float | None = None
+    sites: DataFrame, polygons: DataFrame, fallback: DataFrame, hazards: DataFrame
 ) -> DataFrame:
     """Tract by location, else by the fallback table; then the tract's hazards. Every site stays."""
-    placed = within_join(sites, polygons, "tract_fips", "lon", "lat", cell)
+    placed = within_join(sites, polygons, "tract_fips", "lon", "lat")
     ratings = one_per_key(hazards, "tract_fips", ["nia_id", *RATINGS])
     return repair_unmatched(placed, "location_id", "tract_fips", fallback, ratings)
 

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -208,8 +209,9 @@ def polygons(frame):
     return geometry.read_polygons(frame(rows, "id string, shape " + geometry.RINGS), "id", "shape")
 
 
-@pytest.mark.parametrize("cell", [0.7, 5.0, 1000.0, None])
-def test_points_strictly_within(frame, polygons, cell):
+@pytest.mark.parametrize("most", [1, 3, 32])
+def test_points_strictly_within(frame, polygons, monkeypatch, most):
+    monkeypatch.setattr(geometry.polygon_cells, "__defaults__", (most,))
     points = [
         (1, 5.0, 2.0, {"notch"}),
         (2, 2.0, 2.0, {None}),  # in the hole
@@ -226,12 +228,57 @@ def test_points_strictly_within(frame, polygons, cell):
     ]
     df = frame([p[:3] for p in points], "i int, x double, y double")
     got = {}
-    for r in geometry.within_join(df, polygons, "id", "x", "y", cell).collect():
+    for r in geometry.within_join(df, polygons, "id", "x", "y").collect():
         got.setdefault(r.i, []).append(r.id)
     assert {i: set(ids) for i, ids in got.items()} == {p[0]: p[3] for p in points}
     assert all(len(ids) == len(set(ids)) for ids in got.values())
 
 
+def even_odd(rings, x, y):
+    """Strictly inside, by exact fractions."""
+    odd, x, y = False, Fraction(x), Fraction(y)
+    for r in rings:
+        for p, q in zip(r, r[1:] + r[:1]):
+            x1, y1, x2, y2 = map(Fraction, (p["x"], p["y"], q["x"], q["y"]))
+            if (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                return False
+            odd ^= (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1)
+    return odd
+
+
+@pytest.mark.parametrize("most", [1, 4, 32])
+def test_random_polygons_against_brute_force(frame, monkeypatch, most):
+    monkeypatch.setattr(geometry.polygon_cells, "__defaults__", (most,))
+    rng = random.Random(most)
+    shapes = []
+    for k in range(12):  # crossing sides, holes, whole numbers so that points lie on sides and corners
+        size = rng.choice([2, 6, 40])
+        dot = lambda: (rng.randrange(-size, size), rng.randrange(-size, size))  # noqa: B023, E731
+        shapes.append((f"s{k % 9}", [ring(*(dot() for _ in range(rng.randrange(3, 9)))) for _ in range(rng.randrange(1, 3))]))
+    dots = [(i, rng.randrange(-80, 80) / 2, rng.randrange(-80, 80) / 2) for i in range(300)] + [(900, None, 1.0), (901, 0.5, 0.5), (902, 0.5, 0.5)]
+    table = geometry.read_polygons(frame(shapes, "id string, shape " + geometry.RINGS), "id", "shape")
+    got = sorted((r.i, str(r.id)) for r in geometry.within_join(frame(dots, "i int, x double, y double"), table, "id", "x", "y").collect())
+    want = []
+    for i, x, y in dots:
+        ids = {k for k, rings in shapes if x is not None and even_odd(rings, x, y)}
+        want += [(i, k) for k in ids or {"None"}]
+    assert got == sorted(want) and sum(k != "None" for _, k in got) > 50
+
+
+def test_huge_polygon_has_few_cell_sides(frame):
+    n = 40_000  # a coast of many sides round a wide land, among small squares
+    coast = [(1000 * math.cos(2 * math.pi * k / n) * (1 + 0.01 * (k % 2)), 1000 * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    rows = [("land", [ring(*coast)])] + [(f"q{k}", [ring((k, 0), (k + 1, 0), (k + 1, 1), (k, 1))]) for k in range(50)]
+    table = geometry.read_polygons(frame(rows, "id string, shape " + geometry.RINGS), "id", "shape")
+    cells = geometry.polygon_cells(table, "id").select("id", F.size("cell.sides").alias("n")).groupBy("id").agg(F.count("n").alias("cells"), F.sum("n").alias("n"), F.max("n").alias("most")).collect()
+    land = next(r for r in cells if r.id == "land")
+    assert land.n < 4 * n and land.cells < n and land.most <= geometry.SIDES
+    assert all(r.n <= 16 for r in cells if r.id != "land")
+    dots = frame([(1, 0.5, 0.5), (2, 700.0, 700.0), (3, 990.0, 400.0), (4, 3.5, 0.5)], "i int, x double, y double")
+    got = {(r.i, r.id) for r in geometry.within_join(dots, table, "id", "x", "y").collect()}
+    assert got == {(1, "land"), (1, "q0"), (2, "land"), (3, None), (4, "land"), (4, "q3")}
+
+
 def test_web_mercator(frame):
     lon, lat = geometry.to_wgs84("x", "y")
     row = frame([(111319.49079327357, 111325.1428663851)], "x double, y double").select(lon, lat).first()
