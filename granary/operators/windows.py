@@ -1,9 +1,12 @@
 """Ordered operators inside groups: numbering, filling, ranking, shares.
 
-A window puts a whole group into one task. Groups are therefore measured first
-(one partially aggregated count); if one is larger than ``max_group_rows``, rows
-are cut by range of (group, order) into slices that are worked on separately and
-then joined up by a per-slice carry.
+A window puts a whole group into one task. Here rows are dealt to slices of the order
+(group, order) first, a window works on a group's rows of one slice, and what a group
+hands on from slice to slice is joined back: a carry of a few rows a slice. The plan
+is the same at any size. Slices begin at keys of the rows themselves, every
+``PER_SLICE``-th of a sample by hash whose share is fixed, so their number follows the
+number of rows, small tables are one slice, and a row's slice depends on its values
+alone, whatever is computed again.
 """
 
 from __future__ import annotations
@@ -16,9 +19,9 @@ from pyspark.sql import functions as F
 
 from granary.functions.missing import paste
 from granary.operators.joins import left_join_na, semi_join
-from granary.session import cut_lineage
 
-MAX_GROUP_ROWS = 2_000_000
+SLICE_ROWS = 1_000_000
+PER_SLICE = 20  # sampled rows of a slice
 
 
 def ordering(order: Sequence[str]) -> list[Column]:
@@ -28,63 +31,70 @@ def ordering(order: Sequence[str]) -> list[Column]:
     ]
 
 
-def has_large_group(df: DataFrame, part: Sequence[str], limit: int) -> bool:
-    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_size"))
-    return not sizes.where(F.col("_size") > limit).isEmpty()
+def _before(x: Column, y: Column, descending: bool) -> Column:
+    less = x > y if descending else x < y
+    return F.when(x.isNull() | y.isNull(), y.isNull() & x.isNotNull()).otherwise(less)
 
 
-def _sliced(df: DataFrame, part: Sequence[str], order: Sequence[str]) -> DataFrame:
-    # the written table fixes which slice a row is in, whatever is computed again
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ordering(part) + ordering(order)
-    return cut_lineage(df.repartitionByRange(n, *keys).withColumn("_slice", F.spark_partition_id()))
+def _sliced(df: DataFrame, part: Sequence[str], order: Sequence[str], rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_slice``, and the groups (``part``) in which a slice begins."""
+    keys, names = [*part, *order], [*part, *[c.lstrip("-") for c in order]]
+    share = min(PER_SLICE / rows, 1.0)
+    taken = F.pmod(F.xxhash64(*names), F.lit(1 << 40)) < int(share * (1 << 40))
+    # one row in SLICE_ROWS / PER_SLICE: few enough to be put in order by one task
+    place = F.row_number().over(W.orderBy(*ordering(keys)))
+    starts = df.select(*names).where(taken).withColumn("_at", place).where(F.col("_at") % PER_SLICE == 0)
+    listed = starts.agg(F.sort_array(F.collect_list(F.struct("_at", *names))).alias("_starts"))
+    halves = F.transform(F.sequence(F.lit(30), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    listed = listed.select("_starts", F.filter(halves, lambda p: p <= F.size("_starts")).alias("_halves"))
+
+    def reached(start: Column) -> Column:
+        out = F.lit(True)
+        for c, name in reversed(list(zip(keys, names))):
+            x, y = start[name], F.col(name)
+            out = _before(x, y, c.startswith("-")) | (x.eqNullSafe(y) & out)
+        return out
+
+    def step(found: Column, half: Column) -> Column:
+        return F.when(found + half <= F.size("_starts"), F.when(reached(F.get("_starts", found + half - 1)), found + half).otherwise(found)).otherwise(found)
+
+    sliced = df.join(F.broadcast(listed)).withColumn("_slice", F.aggregate("_halves", F.lit(0), step))  # one row
+    cut = starts.select(*part).distinct() if part else starts.select(F.lit(0).alias("_all")).distinct()
+    return sliced.drop("_starts", "_halves"), cut
+
+
+def _of_cut_groups(sliced: DataFrame, cut: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Rows of groups in which a slice begins; there are fewer of these groups than slices."""
+    if not part:
+        return sliced.join(F.broadcast(cut)).drop("_all")
+    return semi_join(sliced, F.broadcast(cut), list(part))
 
 
 def _earlier_slices(part: Sequence[str]):
     return W.partitionBy(*part).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
 
 
-def number_rows(
-    df: DataFrame,
-    part: Sequence[str],
-    order: Sequence[str],
-    name: str,
-    max_group_rows: int = MAX_GROUP_ROWS,
-    sizes_from: DataFrame | None = None,
-) -> DataFrame:
-    """Sequence number from 1 in each group. The order must leave no ties.
-
-    ``sizes_from`` is a cheaper table whose groups are at least as large, to be
-    measured in place of ``df``. One group holding everything is always sliced.
-    """
-    if part and not has_large_group(df if sizes_from is None else sizes_from, part, max_group_rows):
-        place = F.row_number().over(W.partitionBy(*part).orderBy(*ordering(order)))
-        return df.withColumn(name, place.cast("long"))
-    sliced = _sliced(df, part, order)
-    before = (
-        sliced.groupBy(*part, "_slice")
+def number_rows(df: DataFrame, part: Sequence[str], order: Sequence[str], name: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Sequence number from 1 in each group. The order must leave no ties."""
+    sliced, cut = _sliced(df, part, order, slice_rows)
+    inside = W.partitionBy(*part, "_slice").orderBy(*ordering(order))
+    carry = (
+        _of_cut_groups(sliced.select(*part, "_slice"), cut, part)
+        .groupBy(*part, "_slice")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(_earlier_slices(part)), F.lit(0)))
+        .withColumn("_carry", F.sum("_n").over(_earlier_slices(part)))
         .drop("_n")
     )
-    inside = W.partitionBy(*part, "_slice").orderBy(*ordering(order))
-    numbered = left_join_na(
-        sliced.withColumn("_inside", F.row_number().over(inside)), before, [*part, "_slice"]
-    )
-    place = (F.col("_inside") + F.col("_before")).cast("long")
-    return numbered.withColumn(name, place).drop("_inside", "_before", "_slice")
+    numbered = left_join_na(sliced.withColumn(name, F.row_number().over(inside)), F.broadcast(carry), [*part, "_slice"])
+    place = (F.col(name) + F.coalesce("_carry", F.lit(0))).cast("long")
+    return numbered.withColumn(name, place).drop("_carry", "_slice")
 
 
 def add_entity_id(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    name: str = "entity_id",
-    max_group_rows: int = MAX_GROUP_ROWS,
-    sizes_from: DataFrame | None = None,
+    df: DataFrame, key: str, order: Sequence[str], name: str = "entity_id", slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Id made of a key and the row's place among the rows of that key."""
-    numbered = number_rows(df, [key], order, "_nth", max_group_rows, sizes_from)
+    numbered = number_rows(df, [key], order, "_nth", slice_rows)
     return numbered.withColumn(name, paste(key, "_nth", sep="-")).drop("_nth")
 
 
@@ -95,44 +105,21 @@ def row_key(df: DataFrame, order: Sequence[str], name: str = "pk") -> DataFrame:
 
 
 def fill_down(
-    df: DataFrame,
-    part: Sequence[str],
-    order: Sequence[str],
-    columns: Sequence[str],
-    max_group_rows: int = MAX_GROUP_ROWS,
+    df: DataFrame, part: Sequence[str], order: Sequence[str], columns: Sequence[str], slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Carry the last known value forward in each group."""
-
-    def carried(window):
-        return {c: F.last(c, ignorenulls=True).over(window) for c in columns}
-
-    if not has_large_group(df, part, max_group_rows):
-        window = W.partitionBy(*part).orderBy(*ordering(order))
-        return df.withColumns(carried(window.rowsBetween(W.unboundedPreceding, 0)))
-    sliced = _sliced(df, part, order)
+    sliced, cut = _sliced(df, part, order, slice_rows)
     inside = W.partitionBy(*part, "_slice").orderBy(*ordering(order))
-    filled = sliced.withColumns(carried(inside.rowsBetween(W.unboundedPreceding, 0)))
-    # the filled value of a slice's last row is what it hands on
-    last_row = F.row_number().over(
-        W.partitionBy(*part, "_slice").orderBy(*ordering([_flip(c) for c in order]))
-    )
-    handed = filled.withColumn("_r", last_row).where("_r = 1").select(*part, "_slice", *columns)
-    earlier = handed.select(
-        *part,
-        "_slice",
-        *[
-            F.last(c, ignorenulls=True).over(_earlier_slices(part)).alias(f"_from_{c}")
-            for c in columns
-        ],
-    )
-    joined = left_join_na(filled, earlier, [*part, "_slice"])
+    known = inside.rowsBetween(W.unboundedPreceding, 0)
+    filled = sliced.withColumns({c: F.last(c, ignorenulls=True).over(known) for c in columns})
+    # the last known value of a slice is what it hands on
+    placed = _of_cut_groups(sliced, cut, part).withColumn("_place", F.row_number().over(inside))
+    last = placed.groupBy(*part, "_slice").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_place"))).alias(f"_from_{c}") for c in columns])
+    carry = last.select(*part, "_slice", *[F.last(f"_from_{c}", ignorenulls=True).over(_earlier_slices(part)).alias(f"_from_{c}") for c in columns])
+    joined = left_join_na(filled, F.broadcast(carry), [*part, "_slice"])
     return joined.withColumns({c: F.coalesce(c, f"_from_{c}") for c in columns}).select(*df.columns)
 
 
-def _flip(column: str) -> str:
-    return column[1:] if column.startswith("-") else f"-{column}"
-
-
 def top_k(df: DataFrame, part: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
     """First k rows per group. Spark cuts to k rows per task before the exchange."""
     window = W.partitionBy(*part).orderBy(*ordering(order))
@@ -186,13 +173,13 @@ def rank_by(
     order: Sequence[str],
     part: Sequence[str] = (),
     name: str = "rank",
-    max_group_rows: int = MAX_GROUP_ROWS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Give rows the dense rank their key has in a summary table.
 
     The distinct values are numbered, so that ties share a rank.
     """
     by = [*part, *[c.lstrip("-") for c in order]]
-    values = number_rows(ranked.select(*by).distinct(), part, order, name, max_group_rows)
+    values = number_rows(ranked.select(*by).distinct(), part, order, name, slice_rows)
     ranks = left_join_na(ranked.select(*part, *key, *by[len(part) :]), values, by)
     return left_join_na(df, ranks.select(*part, *key, F.col(name).cast("int").alias(name)), [*part, *key])

@@ -12,6 +12,7 @@ from granary.operators.columns import across, cols
 from granary.operators.joins import left_join_na
 from granary.operators.reshape import tidy_multi_header
 from granary.operators.windows import row_key
+from granary.session import cut_lineage
 
 # Grant types by program acronym.
 GRANT_TYPES = {
@@ -89,4 +90,4 @@ def attach_initiative(
             "is_fei": F.when(F.col("_member").isNull(), F.lit(False)).when(early, F.lit(False)).otherwise(F.lit(True)),
         }
     ).drop("_member")
-    return row_key(flagged, order, "pk")
+    return row_key(cut_lineage(flagged), order, "pk")

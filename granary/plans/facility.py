@@ -14,7 +14,8 @@ from granary.operators.columns import across, cols, recode, split_suffix_type
 from granary.operators.joins import anti_join, left_join_na
 from granary.operators.reshape import pivot_wider
 from granary.operators.sets import align, union_by_name
-from granary.operators.windows import MAX_GROUP_ROWS, add_entity_id
+from granary.operators.windows import add_entity_id
+from granary.session import cut_lineage
 from granary.functions.missing import paste
 
 FLAGS = ["is_federal_interest_site", "is_owned_by_program", "is_child_care_partner_site"]
@@ -89,7 +90,6 @@ def facility_master(
     centers: DataFrame,
     facilities: DataFrame,
     program_types: Sequence[str] = PROGRAM_TYPES,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """One row per grant, program and address, with slots per program type.
 
@@ -121,8 +121,9 @@ def facility_master(
         **{c: "sum" for c in slots},
     }
     # rows without an order of their own go by their texts
-    sites = consolidate(wide, SITE_KEYS, rules, ["_place", "location_name", "address_line2", *LICENSING])
-    numbered = add_entity_id(sites, "grant_id", SITE_KEYS[1:], "location_id", max_group_rows, sizes_from=both)
+    # numbering reads its rows more than once
+    sites = cut_lineage(consolidate(wide, SITE_KEYS, rules, ["_place", "location_name", "address_line2", *LICENSING]))
+    numbered = add_entity_id(sites, "grant_id", SITE_KEYS[1:], "location_id")
     return numbered.withColumn("total_slots", row_sum(slots)).select(
         *SITE_KEYS[:4], "address_line2", *SITE_KEYS[4:], "lat", "lon", "location_id",
         "location_name", "location_type", *slots, "total_slots",

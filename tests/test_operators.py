@@ -25,7 +25,7 @@ from granary.operators import (
     windows,
 )
 
-SMALL = 3  # group limit that makes every group a large one
+SMALL = 40  # rows of a slice, so that groups lie in many
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +39,7 @@ def skewed(frame):
 
 def test_numbering_of_large_groups_equals_the_plain_window(skewed):
     plain = windows.number_rows(skewed, ["k"], ["o"], "n")
-    sliced = windows.number_rows(skewed, ["k"], ["o"], "n", max_group_rows=SMALL)
+    sliced = windows.number_rows(skewed, ["k"], ["o"], "n", slice_rows=SMALL)
     assert {(r.k, r.o): r.n for r in plain.collect()} == {(r.k, r.o): r.n for r in sliced.collect()}
 
 
@@ -50,9 +50,9 @@ def test_numbering_of_a_whole_table_in_descending_order(skewed):
 
 def test_fill_down_of_large_groups_equals_the_plain_window(skewed):
     plain = windows.fill_down(skewed, ["k"], ["o"], ["s"])
-    sliced = windows.fill_down(skewed, ["k"], ["o"], ["s"], max_group_rows=SMALL)
+    sliced = windows.fill_down(skewed, ["k"], ["o"], ["s"], slice_rows=SMALL)
     assert {(r.k, r.o): r.s for r in plain.collect()} == {(r.k, r.o): r.s for r in sliced.collect()}
-    whole = windows.fill_down(skewed, [], ["o"], ["s"], max_group_rows=SMALL).orderBy("o").collect()
+    whole = windows.fill_down(skewed, [], ["o"], ["s"], slice_rows=SMALL).orderBy("o").collect()
     last = None
     by_order = {r.o: r.s for r in skewed.collect()}
     for row in whole:
@@ -60,6 +60,21 @@ def test_fill_down_of_large_groups_equals_the_plain_window(skewed):
         assert row.s == last
 
 
+def test_slices_are_cut_in_any_order(frame):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.5, 2.5]), f"{i:03d}", i) for i in range(500)]
+    df = frame(rows, "g string, x double, s string, i int")
+    sliced, cut = windows._sliced(df, ["g"], ["-x", "s"], 30)
+    assert 8 <= sliced.select("_slice").distinct().count() <= 40 and cut.count() == 3
+    got = {r.i: r.n for r in windows.number_rows(df, ["g"], ["-x", "s"], "n", 30).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        want |= {r[3]: k for k, r in enumerate(own, 1)}
+    assert got == want
+    assert windows.number_rows(df.where("i < 0"), ["g"], ["s"], "n").collect() == []
+
+
 def test_first_k_by_column(skewed):
     sized = skewed.withColumn("k_rows", F.col("k").cast("long"))
     got = windows.first_k_by_column(sized, ["k"], ["o"], "k_rows", at_most=100).groupBy("k").count().collect()
@@ -68,14 +83,14 @@ def test_first_k_by_column(skewed):
         windows.first_k_by_column(sized, ["k"], ["o"], "k_rows", at_most=2).collect()
 
 
-@pytest.mark.parametrize("accuracy", [20, 10_000])
+@pytest.mark.parametrize("most", [20, 50_000])
 @pytest.mark.parametrize("spread", [1_000_000, 12])
-def test_quantiles_are_exact_with_rough_and_fine_sketches(frame, accuracy, spread):
+def test_quantiles_are_exact_with_narrow_and_wide_brackets(frame, most, spread):
     rng = random.Random(spread)
     rows = [("hot" if i % 4 else "cold", float(rng.randrange(spread))) for i in range(3000)]
     rows += [("one", 5.0), ("none", None), ("nan", float("nan")), ("nan", 2.0)]
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.95, 1.0]
-    got = quantiles.exact_quantiles(frame(rows, "g string, x double"), ["g"], "x", probs, accuracy).collect()
+    got = quantiles.exact_quantiles(frame(rows, "g string, x double"), ["g"], "x", probs, most).collect()
     found = {(r.g, r.q): r.x for r in got}
     for g in ("hot", "cold", "one", "nan"):
         xs = [x for h, x in rows if h == g and x is not None and not math.isnan(x)]
@@ -84,6 +99,18 @@ def test_quantiles_are_exact_with_rough_and_fine_sketches(frame, accuracy, sprea
     assert not any(g == "none" for g, _ in found)
 
 
+def test_quantiles_of_a_group_far_above_the_bound(spark, monkeypatch):
+    rows = spark.range(300_000).select((F.col("id") % 10 == 0).alias("g"), F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(10**9)) / 7).alias("x"))
+    table = rows.toPandas()
+    met = []
+    monkeypatch.setattr(quantiles, "_interpolated", lambda counts, by, keep=quantiles._interpolated: met.append(counts) or keep(counts, by))
+    got = {(r.g, r.q): r.x for r in quantiles.exact_quantiles(rows, ["g"], "x", [0.0, 0.3, 0.5, 0.99, 1.0], most=500).collect()}
+    for (g, q), x in got.items():
+        assert x == pytest.approx(np.quantile(table.x[table.g == g], q), rel=1e-12)
+    assert len(got) == 10
+    assert met[0].groupBy("g", "q").count().agg(F.max("count")).first()[0] <= 502
+
+
 def test_quantiles_of_a_whole_table_and_of_several_columns(frame):
     df = frame([(1.0, 10.0), (2.0, None), (3.0, 30.0), (10.0, 50.0)], "x double, y double")
     assert quantiles.exact_quantiles(df, [], "x", [0.75]).first()[:] == (0.75, 4.75)
