@@ -11,8 +11,9 @@ long common prefix, screened by the distance of 192-bit sketches (one bit of eve
    tied to clusters.
 2. The best pairs are confirmed on the full sets, and linked classes form components.
 3. What is still apart in a cluster is settled on the full sets: the classes outside the cluster's largest component
-   are compared with all the others, block by block inside tasks, and only one link for each class and component
-   comes out. So a group of copies, already joined, is not compared within itself, and no pairs are listed.
+   are compared with all the others, block by block inside tasks, and of each task only a forest that connects the
+   same components comes out. So a group of copies, already joined, is not compared within itself, and no pairs are
+   listed.
 
 Two sets of similarity J share a region with chance 1 - (1 - J^5)^24: above 0.9999 at 0.8. Nothing is capped.
 """
@@ -244,7 +245,7 @@ def _clusters(first: DataFrame, ties: DataFrame) -> DataFrame:
 
 
 def _left_apart(clusters: DataFrame, roots: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
-    """Links (u, v) between the components that a cluster is still in, one for each class and component."""
+    """Links (u, v) between the components that a cluster is still in: of each task a forest that connects the same ones."""
     percent = round(limit * 100)
     labels = roots.withColumnRenamed("node", "labelled")
     nodes = clusters.join(labels, F.col("node") == F.col("labelled"), "left").select("cluster", "node", F.coalesce("root", "node").alias("root"))
@@ -261,29 +262,36 @@ def _left_apart(clusters: DataFrame, roots: DataFrame, sets: DataFrame, limit: f
     outside = outside.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), own("outs").alias("o"), "node", "root", "codes").toDF("cluster_", "b_", "o_", "node_", "root_", "codes_")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        u, v = [], []
+        u, v, above = [], [], {}
+
+        def top(x):
+            while (y := above.get(x, x)) != x:
+                above[x] = above.get(y, y)
+                x = y
+            return x
+
         if left.num_rows and right.num_rows:
-            node, root = left["node"].to_numpy(), left["root"].to_numpy()
+            root = left["root"].to_numpy()
             parts = [np.frombuffer(c, np.uint64) for c in left["codes"].to_pylist()]
             order = np.argsort(root, kind="stable")
-            node, root, parts = node[order], root[order], [parts[i] for i in order]
+            root, parts = root[order], [parts[i] for i in order]
             size, flat = np.array([len(p) for p in parts]), np.concatenate(parts)
-            starts, firsts = np.cumsum(size) - size, np.flatnonzero(np.append(True, root[1:] != root[:-1]))
             order = np.argsort(flat)
             flat = flat[order]
             owner = np.repeat(np.arange(len(parts)), size)[order]
-            for x, r, c in zip(right["node_"].to_pylist(), right["root_"].to_pylist(), right["codes_"].to_pylist()):
+            for r, c in zip(right["root_"].to_pylist(), right["codes_"].to_pylist()):
                 codes = np.frombuffer(c, np.uint64)
                 low, high = np.searchsorted(flat, codes, "left"), np.searchsorted(flat, codes, "right")
                 many = high - low
                 at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
                 shared = np.bincount(owner[at], minlength=len(parts))
                 linked = (100 * shared >= percent * (size + len(codes) - shared)) & (root != r)
-                if linked.any():
-                    hit = np.flatnonzero(linked)
-                    for i in hit[np.unique(np.searchsorted(firsts, hit, "right"), return_index=True)[1]]:
-                        u.append(min(x, int(node[i])))
-                        v.append(max(x, int(node[i])))
+                for other in np.unique(root[linked]).tolist():
+                    a, b = top(r), top(other)
+                    if a != b:  # a task hands on a forest of its components, no more links than components
+                        above[max(a, b)] = min(a, b)
+                        u.append(min(r, other))
+                        v.append(max(r, other))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     pairs = members.groupBy("cluster", "b", "o").cogroup(outside.groupBy("cluster_", "b_", "o_"))
