@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +19,38 @@ def _labels(edges: DataFrame, turn: int) -> DataFrame:
     return least.select(F.col("u").alias("node"), F.when(F.col("m.k") < rank("u"), F.col("m.v")).otherwise(F.col("u")).alias("label"))
 
 
+HELD = 300_000  # nodes that a task holds before it hands its forest on
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task as stars round the least nodes: the same parts with one link a node."""
+    above: dict[int, int] = {}
+
+    def top(x):
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = above.setdefault(y, y)
+            x = y
+        return x
+
+    def stars():
+        pairs = [(x, r) for x in above if (r := top(x)) != x]
+        return pa.record_batch([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = top(u), top(v)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+        if len(above) > HELD:
+            yield stars()
+            above.clear()
+    yield stars()
+
+
 def _pairs(edges: DataFrame) -> DataFrame:
-    return edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    """Distinct links, those that lie in one task contracted there."""
+    pairs = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct()
+    return pairs.mapInArrow(_forest, "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,8 +58,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each turn merges nodes into the neighbour of least rank and keeps only the links between what is left, so later
     turns are small: a hub takes its neighbours in at once, and a chain loses a constant share of its nodes to the
-    hashed ranks, so the number of turns is logarithmic. Labels and links are written tables; the least neighbour is
-    partly aggregated, so a hub is no hot task.
+    hashed ranks, so the number of turns is logarithmic; links that lie in one task are contracted there first.
+    Labels and links are written tables; the least neighbour is partly aggregated, so a hub is no hot task.
     """
     edges, levels = cut_lineage(_pairs(links)), []
     while not edges.isEmpty():
