@@ -2,7 +2,8 @@
 
 A page is cut at block-level tags into a flat list of text blocks. Each block has its words, the share of them
 inside links, the same of the block before and after it, whether it lies in an article or beside the page's article, and
-whether it lies in an element that names itself as page furniture (``nav``, ``footer``, ``class="ad"`` and the like). A decision tree, grown
+whether it lies in an element that names itself as page furniture (``nav``, ``footer``, ``class="ad"`` and the like). A
+word of furniture on a wrapper that holds the whole article (``content-sidebar-wrap``) is no such mark. A decision tree, grown
 here from ``LABELLED`` (a small table of labelled blocks), tells which blocks are kept.
 """
 
@@ -25,6 +26,8 @@ RAW = set("script style noscript template textarea title svg math iframe object
 RAW_TEXT = set("script style textarea title iframe noscript".split())
 # Elements that are page furniture by their name
 FURNITURE = set("nav footer aside form menu dialog fieldset".split())
+# Those of them that hold furniture whatever else they hold, and the page's head
+STRONG = set("nav footer aside menu dialog header".split())
 # Words of class, id and role that mark page furniture
 MARKS = set(
     "ad ads advert advertisement adverts advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -103,16 +106,18 @@ LABELLED = [
     (3, 0.0, 0, 0.0, 25, 0.0, 0, 0, 0, 1, 1),
     (3, 0.0, 2, 0.5, 150, 0.0, 0, 0, 0, 1, 1),
     (3, 0.0, 30, 0.0, 30, 0.0, 0, 0, 0, 1, 1),
+    (4, 0.0, 4, 0.0, 4, 0.0, 0, 0, 0, 0, 1),
+    (5, 0.0, 0, 0.0, 5, 0.0, 0, 0, 0, 0, 1),
+    (3, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (2, 0.0, 0, 0.0, 2, 0.0, 0, 0, 0, 0, 1),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
     (22, 0.7, 22, 0.0, 22, 0.0, 0, 0, 0, 0, 0),
     (60, 0.6, 5, 0.0, 5, 0.0, 0, 0, 0, 0, 0),
     (200, 0.7, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
     (3, 0.7, 60, 0.0, 60, 0.0, 0, 0, 0, 0, 0),
     (2, 1.0, 20, 0.0, 2, 1.0, 0, 0, 0, 0, 0),
     (2, 1.0, 2, 1.0, 22, 0.0, 0, 0, 0, 0, 0),
-    (4, 0.0, 4, 0.0, 4, 0.0, 0, 0, 0, 0, 0),
     (2, 0.0, 4, 1.0, 4, 1.0, 0, 0, 0, 0, 0),
-    (5, 0.0, 0, 0.0, 5, 0.0, 0, 0, 0, 0, 0),
-    (3, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0),
     (5, 0.9, 30, 0.0, 4, 1.0, 0, 0, 0, 0, 0),
     (30, 0.8, 10, 0.9, 12, 1.0, 0, 0, 0, 0, 0),
@@ -177,11 +182,37 @@ def _mark(name: str, attrs: str) -> tuple[bool, bool]:
     return furniture, article
 
 
+def _released(found: list[tuple], weak: dict[int, bool]) -> set[int]:
+    """Marked elements that are wrappers of the page and no furniture.
+
+    ``weak`` are those marked by a word or a form, and whether a main element lies inside. Such a mark tells
+    nothing about what an element holds if that is all of the page's article, or where there is none, half of the
+    page's words or more. A part of the page beside an article stays what its mark says.
+    """
+    total, out = sum(b[1] for b in found), set()
+    for e, has_main in weak.items():
+        articles = [e in b[4] for b in found if b[3] and not (set(b[4]) - weak.keys())]
+        size = sum(b[1] for b in found if e in b[4])
+        if all(articles) and (has_main or 2 * size >= total):
+            out.add(e)
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, words in links, in an article, furniture, heading) of each block with text, in page order."""
-    out, parts, stack = [], [], []  # stack: (name, furniture, article)
+    found, weak = _flat(page)
+    wrappers = _released(found, weak) if weak else set()
+    return [(*b[:4], not wrappers.issuperset(b[4]), b[5]) for b in found]
+
+
+def _flat(page: str) -> tuple[list[tuple], dict[int, bool]]:
+    """Blocks as above but with the numbers of the marked elements they lie in, and the weakly marked elements."""
+    out, parts, stack = [], [], []  # stack: (name, number of a marked element or 0, article)
     links, at, n = 0, 0, len(page)
-    skip = heading = article = furniture = 0
+    skip = heading = article = 0
+    furniture: list[int] = []
+    weak: dict[int, bool] = {}
+    marked = 0
 
     def flush():
         nonlocal parts
@@ -189,14 +220,15 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
             if text:
                 linked = sum(len(html.unescape(p).split()) for p, in_link in parts if in_link)
-                out.append((text, len(text.split()), linked, article > 0, furniture > 0, heading > 0))
+                out.append((text, len(text.split()), linked, article > 0, tuple(furniture), heading > 0))
             parts = []
 
     def close(i):
-        nonlocal skip, heading, article, furniture, links
+        nonlocal skip, heading, article, links
         while len(stack) > i:
             name, f, a = stack.pop()
-            furniture -= f
+            if f:
+                furniture.pop()
             article -= a
             skip -= name in RAW
             heading -= name in HEADINGS
@@ -236,9 +268,15 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 at = end.end() if end else n
                 continue
             f, a = _mark(name, m[3] or "")
+            if name == "main":
+                weak.update({e: True for e in furniture if e in weak})
             f = f or name == "header" and article == 0
+            if f:
+                marked += 1
+                furniture.append(marked)
+                if name not in STRONG:
+                    weak[marked] = False
             stack.append((name, f, a))
-            furniture += f
             article += a
             skip += name in RAW
             heading += name in HEADINGS
@@ -246,7 +284,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             if name == "body":
                 skip = 0
     flush()
-    return out
+    return out, weak
 
 
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}

@@ -44,6 +44,32 @@ def test_page_without_article_element():
     assert text_of(page) == "\n".join(["On boats", PROSE, PROSE, "Short line.", PROSE])
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        '<div class="content-sidebar-wrap"><main>{}</main>{}</div>',
+        '<div class="row has-sidebar">{}{}</div>',
+        '<div id="page" class="site no-sidebar">{}{}</div>',
+        '<form id="aspnetForm">{}{}</form>',
+        '<section id="blog-posts-and-comments">{}{}</section>',
+    ],
+)
+def test_wrappers_of_the_article_are_no_furniture(wrapper):
+    article = f"<article><h1>On boats</h1><p>{PROSE}</p><p>He said no.</p></article>"
+    beside = f'<div class="sidebar"><p>{PROSE}</p></div><section id="comments"><div class="comment"><p>{PROSE * 9}</p></div></section>'
+    page = f"<html><body><nav><a href=1>Home</a></nav>{wrapper.format(article, beside)}<footer>Copyright</footer></body></html>"
+    assert text_of(page) == "\n".join(["On boats", PROSE, "He said no."])
+
+
+def test_long_comments_beside_a_short_article():
+    page = f'<body><article><p>{PROSE}</p></article><section id="comments"><article><p>{PROSE * 30}</p></article></section></body>'
+    assert text_of(page) == PROSE
+
+
+def test_short_paragraphs_stay():
+    assert text_of("<p>He said no.</p><p>She left.</p>") == "He said no.\nShe left."
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "plain", "<p>a<!-- b", "<script>x", "</p></div>", "<a" * 50, "<div>" * 3000 + "x", "&#xZZ; &amp &nosuch;"])
 def test_broken_pages_end(page):
     assert isinstance(text_of(page), str)
