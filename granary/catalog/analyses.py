@@ -18,6 +18,9 @@ from granary.catalog.topics import SEED as TOPIC_SEED
 from granary.functions import paste, row_sum
 from granary.operators.sets import union_by_name
 from granary.operators.survey import margin_band, moe_shares
+from granary.session import scratch_path
+from granary.sources.sinks import write_split
+from granary.sources.tables import read_yearly
 from granary.plans.case_study import case_study_options, similar_sites
 from granary.plans.comments import comment_sample, comment_topics, grant_sample, sample_by_region
 from granary.plans.disbursement import (
@@ -870,21 +873,18 @@ def pip_reconcile(t):
     """,
 )
 def pip_closed_grants(t):
-    def year(y):
-        first, after = F.lit(f"{y}-01-01").cast("date"), F.lit(f"{y + 1}-01-01").cast("date")
-        line2 = F.col("o_custkey") if y % 2 else F.col("o_custkey").cast("string")
-        rows = t.orders.where((F.col("o_orderdate") >= first) & (F.col("o_orderdate") < after))
-        return rows.select(
-            F.col("o_orderkey").alias("award_id_fain"),
-            F.lit(y).alias("fy"),
-            F.col("o_orderstatus").alias("awarding_sub_agency_code"),
-            F.to_date("o_orderdate").alias("period_of_performance_current_end_date"),
-            F.col("o_orderpriority").alias("business_types_description"),
-            line2.alias("recipient_address_line_2"),
-        )
-
+    path = scratch_path(t.spark, "awards_by_year")
+    awards = t.orders.select(
+        F.col("o_orderkey").alias("award_id_fain"),
+        F.year("o_orderdate").alias("fy"),
+        F.col("o_orderstatus").alias("awarding_sub_agency_code"),
+        F.to_date("o_orderdate").alias("period_of_performance_current_end_date"),
+        F.col("o_orderpriority").alias("business_types_description"),
+        F.col("o_custkey").alias("recipient_address_line_2"),
+    )
+    write_split(awards, path, "fy")
     active = t.lineitem.where("l_quantity > 48").select(F.col("l_orderkey").alias("award_id_fain"))
-    closed = closed_grants([year(y) for y in range(1995, 2001)], active, "F", "1999-09-30", ["1-URGENT", "2-HIGH"])
+    closed = closed_grants(read_yearly(t.spark, path, "fy", range(1995, 2001)), active, "F", "1999-09-30", ["1-URGENT", "2-HIGH"])
     return closed.select("award_id_fain", "fy", "business_types_description", "recipient_address_line_2")
 
 

@@ -13,6 +13,7 @@ from granary.operators.network import (
     named_pairs,
     weight_quantiles,
 )
+from granary.session import cut_lineage
 
 PAIRS_SQL = "pairs as (select distinct l_suppkey as item, l_partkey as via from lineitem)"
 EDGES_SQL = f"""
@@ -49,6 +50,11 @@ def gph_incidence(t):
     return incidence(named_pairs(awards, "l_suppkey", "s_name", "l_partkey", "p_title", ["l_orderkey", "l_linenumber"]))
 
 
+def edges(t):
+    """All edges, made once: their weights give the threshold, then the edges above it are taken."""
+    return cut_lineage(cooccurrence(pairs(t)))
+
+
 @query("gph_cooccurrence", f"with {EDGES_SQL} select * from edges")
 def gph_cooccurrence(t):
     return cooccurrence(pairs(t))
@@ -70,7 +76,7 @@ def gph_weight_quantiles(t):
     f"with {EDGES_SQL} select count(distinct name) as n from (select src as name from heavy union all select dst from heavy)",
 )
 def gph_strong_nodes(t):
-    return endpoints(heavy_edges(cooccurrence(pairs(t)))).agg(F.count(F.lit(1)).alias("n"))
+    return endpoints(heavy_edges(edges(t))).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -82,7 +88,7 @@ def gph_strong_nodes(t):
     """,
 )
 def gph_isolated(t):
-    return isolated_nodes(nodes(t), heavy_edges(cooccurrence(pairs(t)), 0.999))
+    return isolated_nodes(nodes(t), heavy_edges(edges(t), 0.999))
 
 
 @query(
@@ -94,7 +100,7 @@ def gph_isolated(t):
     """,
 )
 def gph_subgraph(t):
-    heavy = heavy_edges(cooccurrence(pairs(t)))
+    heavy = heavy_edges(edges(t))
     kept = connected_nodes(nodes(t), heavy)
-    edges = heavy.select(F.col("src").alias("name"), F.col("dst").alias("other"), "weight")
-    return kept.unionByName(edges, allowMissingColumns=True)
+    strong = heavy.select(F.col("src").alias("name"), F.col("dst").alias("other"), "weight")
+    return kept.unionByName(strong, allowMissingColumns=True)

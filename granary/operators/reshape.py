@@ -129,14 +129,20 @@ def tidy_multi_header(
     """A sheet with several header rows to rows (ids, leading names) x metrics.
 
     ``names`` name the header rows from the top; the last holds the metric, whose
-    expected values are ``metrics``.
+    expected values are ``metrics``. The header, of one entry a column, is broadcast as
+    one row; a row of the sheet becomes its own rows where it lies, with no exchange.
+    Two columns of one header fail. Rows of the sheet with the same ids stay apart.
     """
-    header = header_table(df, ordinal, n_header, columns, names).drop("position")
-    body = pivot_longer(
-        df.where(F.col(ordinal) > n_header).select(*ids, *columns), columns, "column", "value"
-    )
-    tagged = left_join_na(body, header, "column").drop("column")
-    return pivot_wider_unique(tagged, [*ids, *names[:-1]], names[-1], "value", metrics)
+    lead, metric = list(names[:-1]), names[-1]
+    header = header_table(df, ordinal, n_header, columns, names)
+    cell = F.when(F.col(metric).isNotNull(), F.struct(F.col(metric).alias("metric"), "column"))
+    groups = header.groupBy(*lead).agg(F.map_from_entries(F.collect_list(cell)).alias("cells"))
+    one = groups.agg(F.collect_list(F.struct(*lead, "cells")).alias("_groups"))
+    values = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(f"`{c}`") for c in columns]))
+    body = df.where(F.col(ordinal) > n_header).select(*ids, values.alias("_values"))
+    each = body.join(F.broadcast(one)).select(*ids, "_values", F.explode("_groups").alias("_g"))
+    found = [F.try_element_at("_values", F.try_element_at("_g.cells", F.lit(m))).alias(m) for m in metrics]
+    return each.select(*ids, *[F.col(f"_g.`{c}`").alias(c) for c in lead], *found)
 
 
 def joined_header(df: DataFrame, names: Sequence[str], sep: str = ",") -> DataFrame:

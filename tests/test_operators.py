@@ -357,6 +357,12 @@ def test_multi_row_header(frame):
     ]
 
 
+def test_two_columns_of_one_header_fail(frame):
+    sheet = frame([(1, None, "Jan", None), (2, "id", "n", "n"), (3, "g", "1", "2")], "row int, id string, a string, b string")
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        reshape.tidy_multi_header(sheet, "row", 2, ["id"], ["a", "b"], ["month", "metric"], ["n"]).collect()
+
+
 def test_repeated_cells_are_reported_and_fail(frame):
     df = frame([(1, "a", 5), (1, "a", 6), (2, "b", 7)], "k int, n string, v int")
     assert [r[:] for r in reshape.repeated_cells(df, ["k"], "n").collect()] == [(1, "a", 2)]

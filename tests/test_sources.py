@@ -10,9 +10,11 @@ from granary.sources.tables import (
     choose_files,
     file_names,
     nullify_tokens,
+    read_chosen,
     read_csv_inferred,
     read_text_table,
     read_typed,
+    read_yearly,
     skip_rows,
     union_harmonised,
     union_tagged,
@@ -66,6 +68,26 @@ def test_drifting_tables_are_stacked(frame):
     assert [r.line for r in union_harmonised([c, d], {"line": "string"}).collect()] == ["5", "x"]
 
 
+def test_many_files_are_read_in_one_scan(spark, frame):
+    folder = scratch_path(spark, "books")
+    frame([(1, 2.0, "yes")], "number int, amount double, decision string").write.parquet(f"{folder}/a/Decision Book 2021+.parquet")
+    frame([(2, 3.0)], "number int, amount double").write.parquet(f"{folder}/b/c/2022 Decision Book.parquet")
+    for name in ("2022 Decision Book Original", "Notes 2022"):
+        frame([(9, 9.0)], "number int, amount double").write.parquet(f"{folder}/b/{name}.parquet")
+    df = read_chosen(spark, [f"{folder}/a", f"{folder}/b"], "Decision Book", "Original", tag="book", year="fy")
+    assert sorted(r[:] for r in df.collect()) == [(1, 2.0, "yes", "Decision Book 2021+", 2021), (2, 3.0, None, "2022 Decision Book", 2022)]
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_yearly_folders_are_pruned(spark, frame):
+    path = scratch_path(spark, "years")
+    write_split(frame([(1, 5, 2019), (2, 6, 2020), (3, 7, 2021), (4, 8, 2021)], "k int, line int, fy int"), path, "fy")
+    df = read_yearly(spark, path, "fy", [2020, 2021], {"line": "string"}, F.col("k") < 4)
+    assert sorted(r[:] for r in df.collect()) == [(2, "6", 2020), (3, "7", 2021)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "PartitionFilters: [isnotnull(fy" in plan
+
+
 def test_tokens_become_missing(frame):
     df = nullify_tokens(frame([("-",), ("null",), ("5",), (None,)], "s string"), ["s"], ["null", "-", "**"])
     assert [r.s for r in df.collect()] == [None, None, "5", None]
