@@ -22,6 +22,7 @@ from granary.operators import (
     reshape,
     sampling,
     survey,
+    topics,
     windows,
 )
 
@@ -460,3 +461,18 @@ def test_rank_by(frame):
     df = frame([("a", 5), ("b", 7), ("c", 7)], "k string, total int")
     ranked = windows.rank_by(df.select("k"), df, ["k"], ["-total"], name="place")
     assert {r.k: r.place for r in ranked.collect()} == {"a": 2, "b": 1, "c": 1}
+
+
+def test_planted_topics_are_found(frame):
+    rng = random.Random(12)
+    planted = {"sea": ["boat", "tide", "sail", "reef", "gull", "mast"], "farm": ["plough", "barn", "hay", "goat", "field", "mill"]}
+    rows = [(f"{kind}{i}", " ".join(rng.choices(words, k=25) + rng.choices(["day", "one"], k=3))) for kind, words in planted.items() for i in range(25)]
+    cells = topics.document_terms(frame(rows, "id string, text string"), "id", "text")
+    texts, terms = topics.fit_topics(cells, "id", [2], seed=3, rounds=12)
+    shares = {r.id: r.w for r in texts.collect()}
+    top = {kind: {max((0, 1), key=lambda t: shares[i][t]) for i in shares if i.startswith(kind)} for kind in planted}
+    assert len(top["sea"]) == len(top["farm"]) == 1 and top["sea"] != top["farm"]
+    weights = {r.term: r.w for r in terms.collect()}
+    for kind, words in planted.items():
+        (t,) = top[kind]
+        assert sorted(weights, key=lambda w: -weights[w][t])[:6] == sorted(words, key=lambda w: -weights[w][t])
