@@ -18,7 +18,7 @@ from granary.catalog.topics import SEED as TOPIC_SEED
 from granary.functions import paste, row_sum
 from granary.operators.sets import union_by_name
 from granary.operators.survey import margin_band, moe_shares
-from granary.session import scratch_path
+from granary.session import cut_lineage, scratch_path
 from granary.sources.sinks import write_split
 from granary.sources.tables import read_yearly
 from granary.plans.case_study import case_study_options, similar_sites
@@ -649,8 +649,8 @@ def _income_sql(column: str) -> str:
 )
 def pip_survey(t):
     people = weighted(t).withColumn("poverty", F.floor("l_extendedprice") % 500)
-    # group-sized; kept because two results are made of it
-    estimates = poverty_estimates(people, DESIGN, ["l_suppkey", "l_linenumber"]).cache()
+    # group-sized; written because two results are made of it
+    estimates = cut_lineage(poverty_estimates(people, DESIGN, ["l_suppkey", "l_linenumber"]))
     share = moe_shares(estimates, "population_estimate_moe_rel", {"share_over": 0.02})
     return estimates.select(
         "l_suppkey",

@@ -21,6 +21,7 @@ GRANT_TYPES = {
     "HP": "Region 01 – 10 EHS-CCP",
     "HI": "Region 11 American Indian and Alaska Native (AIAN) EHS-CCP",
 }
+# Columns of the sheet and their names here.
 RENAMED = {
     "grant_number": "grant_id",
     "month": "report_month",
@@ -33,6 +34,7 @@ RENAMED = {
     "diff": "slots_diff_reported_from_funded",
     "percent": "slots_pct_reported_over_funded",
 }
+# yes/no columns, the region of interim grants, and the day from which starts are reliable.
 FLAGS = ["head_start", "early_head_start", "operational"]
 INTERIM_REGION = "13"
 RELIABLE_FROM = "2023-01-01"

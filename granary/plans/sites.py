@@ -27,6 +27,7 @@ from granary.operators.windows import ordering
 
 # Areas rated by expected loss only.
 TERRITORIES = ["PR", "GU", "MP", "AS", "VI", "PW"]
+# Hazards, rating columns, their labels, and the levels from high to low.
 HAZARDS = ["hrcn", "trnd", "wfir"]
 RATINGS = ["risk_ratng", "hrcn_riskr", "trnd_riskr", "wfir_riskr"]
 RISK_TYPES = {"risk": "Overall", "hrcn": "Hurricane", "trnd": "Tornado", "wfir": "Wildfire"}
