@@ -116,4 +116,5 @@ def pack(counts: DataFrame, sizes: tuple[int, ...] = SIZES, overhead: int = OVER
 
 
 def packed(docs: DataFrame) -> DataFrame:
+    """Sequences (see ``pack``) of the tokens of whole texts; NULL and empty texts have none, repeated rows count again."""
     return pack(token_counts(docs))
