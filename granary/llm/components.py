@@ -19,7 +19,8 @@ def _labels(edges: DataFrame, turn: int) -> DataFrame:
     return least.select(F.col("u").alias("node"), F.when(F.col("m.k") < rank("u"), F.col("m.v")).otherwise(F.col("u")).alias("label"))
 
 
-HELD = 300_000  # nodes that a task holds before it hands its forest on
+LINKS = 400_000  # links of a task
+HELD = 2 * LINKS  # nodes that a task holds before it hands its forest on: those of its links
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,25 +49,30 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
-    """Distinct links, those that lie in one task contracted there."""
-    pairs = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct()
-    return pairs.mapInArrow(_forest, "u long, v long")
+    return edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in ``links`` (u, v) with another one: the root is the least node that can be reached.
 
-    Each turn merges nodes into the neighbour of least rank and keeps only the links between what is left, so later
-    turns are small: a hub takes its neighbours in at once, and a chain loses a constant share of its nodes to the
-    hashed ranks, so the number of turns is logarithmic; links that lie in one task are contracted there first.
-    Labels and links are written tables; the least neighbour is partly aggregated, so a hub is no hot task.
+    Each turn first contracts the links of a task, ``LINKS`` of them, to a forest: one link a node. Then nodes are
+    merged into the neighbour of least rank, and only the links between what is left go on, so later turns are small:
+    a hub takes its neighbours in at once, and a chain loses a constant share of its nodes to the hashed ranks, so
+    the number of turns is logarithmic. When what is left fits one task, its forest is the end. Labels and links are
+    written tables; the least neighbour is partly aggregated, so a hub is no hot task.
     """
     edges, levels = cut_lineage(_pairs(links)), []
-    while not edges.isEmpty():
-        labels = cut_lineage(_labels(edges, len(levels)))
+    while n := edges.count():
+        tasks = -(-n // LINKS)
+        forest = cut_lineage(edges.coalesce(tasks).mapInArrow(_forest, "u long, v long"))
+        if tasks == 1:  # stars round their roots
+            roots = forest.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
+            levels.append(forest.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots))
+            break
+        labels = cut_lineage(_labels(forest, len(levels)))
         levels.append(labels)
         ends = {c: labels.select(F.col("node").alias(f"{c}_node"), F.col("label").alias(f"{c}_label")) for c in ("u", "v")}
-        moved = edges.join(ends["u"], F.col("u") == F.col("u_node")).join(ends["v"], F.col("v") == F.col("v_node"))
+        moved = forest.join(ends["u"], F.col("u") == F.col("u_node")).join(ends["v"], F.col("v") == F.col("v_node"))
         edges = cut_lineage(_pairs(moved.select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))))
     if not levels:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -80,7 +80,9 @@ def test_empty_table(frame):
     assert near_duplicates(frame([(1, None)], "doc_id long, text string")).collect()[0].kept
 
 
-def test_components_against_brute_force(frame):
+@pytest.mark.parametrize("per_task", [400_000, 90])
+def test_components_against_brute_force(frame, monkeypatch, per_task):
+    monkeypatch.setattr("granary.llm.components.LINKS", per_task)
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1200)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)] + [(5000, 5000)]
     rng.shuffle(links)
