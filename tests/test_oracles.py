@@ -8,11 +8,8 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLES = "/root/testdata/sf0.01"  # large enough that a sample leaves rows out
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
-# queries without SQL, by name
-ROWS_ONLY = {"txt_tune_k"}
-
 from granary.catalog import ORACLES, QUERIES  # noqa: E402
-from verify import compare, connect  # noqa: E402
+from verify import ROWS_ONLY, compare, connect  # noqa: E402
 
 
 @pytest.fixture(scope="module")

@@ -15,6 +15,10 @@ TABLES = (
 ).split()
 
 
+# queries without SQL, by name
+ROWS_ONLY = {"txt_tune_k"}
+
+
 def session(cpus="8"):
     return (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -83,6 +87,6 @@ if __name__ == "__main__":
             result = compare(spark, con, name, folder, QUERIES, ORACLES)
         except Exception as e:  # report and go on to the next query
             result = f"ERROR {type(e).__name__} {str(e)[:600]}"
-        failed += not result.startswith(("ok", "rows-only"))
+        failed += not result.startswith("rows-only" if name in ROWS_ONLY else "ok")
         print(f"{name:28s} {time.time() - start:6.2f}s {result}", flush=True)
     print("failed:", failed)
