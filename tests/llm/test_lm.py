@@ -117,3 +117,62 @@ def test_word_order_matters(spark):
 @pytest.mark.parametrize("ending", [b"", b"a", b"ab", b"\xc3\xa9"])
 def test_every_ending_has_a_class(ending):
     assert 0 <= tail_class({b"ab": 1}, ending) < lm.TAIL
+
+
+def small_model(frame, lookup, monkeypatch):
+    monkeypatch.setattr(lm, "LOOKUP", lookup)
+    rng = random.Random(3)
+    texts = frame([(" ".join(f"{rng.choice('abc')}{k}{'xyz'[k % 3]}q" for k in (min(899, int(rng.expovariate(0.005))) for _ in range(40))),) for _ in range(200)], "text string")
+    texts = texts.select(F.col("text").cast("binary").alias("text"))
+    return lm.train(texts, lm._token_counts(texts), 2)
+
+
+def test_chances_of_all_leaves_sum_to_one(frame, monkeypatch):
+    """With weights of words fitted to events, whatever the history."""
+    model = small_model(frame, 300, monkeypatch)
+    n, rng = model.leaves.count, np.random.default_rng(4)
+    assert n > 300 and (model.tree.up == -1).sum() == 1
+    seen = rng.integers(0, n, (3, 4000))
+    for last, before in ((n, n), (5, n), (n - 1, 7), (140, 200)):
+        seen[1][:500], seen[2][:500] = last, before
+        events = [np.concatenate([a, b]).astype(np.int32) for a, b in zip(seen, (np.arange(n), np.full(n, last), np.full(n, before)))]
+        got = lm.share_scores(model.tree, *events, np.arange(4000 + n) < 4000)[4000:]
+        assert abs((10**got).sum() - 1) < 1e-4
+        plain = lm.share_scores(model.tree, *events, np.zeros(4000 + n, bool))[4000:]
+        assert abs((10**plain).sum() - 1) < 1e-4 and np.abs(got - plain).max() > 0.1
+
+
+def test_leaves_follow_the_vocabulary(frame, monkeypatch):
+    few, many = (small_model(frame, lookup, monkeypatch).leaves for lookup in (1200, 150))
+    assert many.size.sum() > 3 * few.size.sum()  # words without a leaf of their own get more leaves by hash
+    assert len(many.own) + lm.TOGETHER * many.size.sum() >= 900
+
+
+@pytest.mark.parametrize("lookup", [1 << 17, 200])
+def test_words_of_one_ending_are_told_apart_by_the_words_before(frame, monkeypatch, lookup):
+    """Each of 600 equally frequent words of one ending has one successor."""
+    monkeypatch.setattr(lm, "LOOKUP", lookup)
+    monkeypatch.setattr(lm, "EVENTS", 4000)  # several shares
+    rng, rows = random.Random(8), []
+    for i in range(500):
+        k, words = rng.randrange(600), []
+        for _ in range(40):
+            words.append(f"w{k}zz")
+            k = (k * 7 + 3) % 600
+        rows.append((i, " ".join(words)))
+    docs = frame(rows, "doc_id long, text string").repartition(3)
+    held = [r for r in scores(docs).collect() if r.held_out]
+    n = sum(r.n_tokens for r in held)
+    assert sum(r.score for r in held) / n > sum(r.base_score for r in held) / n + 0.9
+
+
+def test_a_frequent_word_is_dealt_to_several_shares(frame, monkeypatch):
+    monkeypatch.setattr(lm, "EVENTS", 500)
+    docs = frame([(i, "the the the the end") for i in range(400)], "doc_id long, text string").repartition(2)
+    close(result(scores(docs)), brute([(i, "the the the the end") for i in range(400)], in_training))
+
+
+def test_columns_survive_squeezing():
+    columns = [np.arange(7, dtype=np.int32) - 3, np.arange(7, dtype=np.uint16) * 999, np.linspace(0, 1, 7)]
+    got = lm.stretch(lm.squeeze(*columns), "i4", "u2", "f8")
+    assert all((a == b).all() for a, b in zip(columns, got))
