@@ -1,13 +1,15 @@
 """Document quality by pairwise ranking (Bradley-Terry).
 
-Each document is a row of bounded features of its whole text, cut at quantiles of the training sample into
+Each document is a row of bounded features of its whole text, cut at quantiles of the training rows into
 one-hot cells, so that the score is a sum of one learned step function per feature. The score is learned from
 preference pairs: a document of label 1 is preferred to one of label 0, and the chance of that is the logistic of
 the difference of their scores. The score is then set on the 0-1 scale by the quantile of training scores that
 divides the labels: a document at that quantile gets ``THRESHOLD``.
 
-Bounds, as parameters: ``per_label`` labelled documents of each label are learned from (those with the smallest
-hash of their id), and each is in ``rounds`` x 1 pairs. All texts are scored whole.
+All labelled documents are learned from, and every document of one label is paired with every one of the other: what a
+document adds to the gradient depends on the other label only by how many documents it has at each score. So a round
+is one job that counts training rows by label, cell and score (to 1/8), and only such counts, whose number is bounded, reach
+the driver. Quantiles are of all rows, too, from counts of values to 11 binary digits. All texts are scored whole.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import bounded_sample, crc_mod, map_batches, utf8
+from granary.llm.common import crc_mod, map_batches, utf8
+from granary.session import cut_lineage
 
 THRESHOLD = 0.3
 FEATURES = (
@@ -27,6 +30,7 @@ FEATURES = (
     "line_words short_lines dup_lines dup_line_words repeat_words distinct_words top_word stop_share non_ascii letter_share end_marks entropy"
 ).split()
 SYMBOLS = b"#*$%&|<>"
+STEPS, BINS = 8, 512  # score bins of a unit, and all of them
 
 
 def measures(text: bytes | None) -> list[float]:
@@ -115,40 +119,92 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip((self.raw(rows) - self.middle) / self.scale + at, -40, 40)))
 
 
-def fit(rows: np.ndarray, labels: np.ndarray, cells: int = 12, rounds: int = 300, rate: float = 0.3, decay: float = 1e-3, seed: int = 7) -> Ranker:
-    """Learn scores from preference pairs by Adagrad on the logistic loss of feature differences.
+def value_codes(x: np.ndarray) -> np.ndarray:
+    """Values to 11 binary digits, as numbers of the same order."""
+    bits = (np.ascontiguousarray(x, np.float64) + 0.0).view(np.int64) >> 41  # a sign, 11 digits of the power, 11 others
+    return np.where(bits < 0, ~(bits & (1 << 22) - 1), bits)
 
-    With one label only there are no pairs: every score is then that label's (0.5 without any label).
-    """
-    good, bad = rows[labels == 1], rows[labels == 0]
-    if not len(good) or not len(bad):
-        return Ranker(np.zeros((0, 0)), np.zeros((0, 0)), 0.0, 1.0, 0.5 if not len(rows) else 0.99 if len(good) else 0.01)
-    both = np.concatenate([good, bad])
-    # half of the cuts by quantiles of each label, so that a rare label has cells of its own
-    grid = np.linspace(0, 1, cells // 2 + 1)[1:-1]
-    cuts = np.sort(np.concatenate([np.quantile(good, grid, axis=0), np.quantile(bad, grid, axis=0)]).T, axis=1)
-    model = Ranker(cuts, np.zeros((both.shape[1], cuts.shape[1] + 1)), 0.0, 1.0)
-    g, b = model.cells(good), model.cells(bad)
-    flat, power, rng = model.weights.reshape(-1), np.full(model.weights.size, 1e-6), np.random.default_rng(seed)
-    most = max(len(g), len(b))
-    for _ in range(rounds):  # each round pairs every document with one of the other label
-        x, y = g[rng.permutation(most) % len(g)], b[rng.permutation(most) % len(b)]
-        miss = 1 / (1 + np.exp(np.clip(flat[x].sum(1) - flat[y].sum(1), -40, 40)))
-        step = np.bincount(x.ravel(), np.repeat(miss, x.shape[1]), flat.size) - np.bincount(y.ravel(), np.repeat(miss, y.shape[1]), flat.size)
-        step = step / most - decay * flat
+
+def code_values(codes: np.ndarray) -> np.ndarray:
+    """The largest value in size of each code."""
+    bits = np.where(codes < 0, (~codes & (1 << 22) - 1) | -1 << 22, codes)
+    return ((bits << 41) | (1 << 41) - 1).view(np.float64)
+
+
+def quantiles(values: np.ndarray, n: np.ndarray, shares) -> np.ndarray:
+    """Quantiles of values in ascending order that occur ``n`` times: the first value with the share up to it."""
+    up = np.cumsum(n)
+    return values[np.minimum(np.searchsorted(up, np.asarray(shares) * up[-1] - 1e-9, "left"), len(values) - 1)]
+
+
+def _cuts(label: np.ndarray, feature: np.ndarray, code: np.ndarray, n: np.ndarray, features: int, cells: int) -> np.ndarray:
+    """Cuts of each feature; half of them by quantiles of each label, so that a rare label has cells of its own."""
+    grid, out = np.linspace(0, 1, cells // 2 + 1)[1:-1], np.empty((features, 0))
+    for k in (1, 0):
+        own = []
+        for f in range(features):
+            at = np.flatnonzero((label == k) & (feature == f))
+            at = at[np.argsort(code[at])]
+            own.append(quantiles(code_values(code[at]), n[at], grid))
+        out = np.concatenate([out, own], axis=1)
+    return np.sort(out, axis=1)
+
+
+def score_bins(model: Ranker, cells: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Rows by label, cell and bin of their score."""
+    bins = np.clip(np.rint(model.weights.ravel()[cells].sum(1) * STEPS) + BINS // 2, 0, BINS - 1).astype(np.int64)
+    keys = ((label[:, None] * model.weights.size + cells) * BINS + bins[:, None]).ravel()
+    return np.bincount(keys, minlength=2 * model.weights.size * BINS)
+
+
+def _climb(model: Ranker, count, rounds: int, rate: float, decay: float) -> None:
+    """Adagrad on the logistic loss of all pairs; ``count`` gives the rows by label, cell and score bin under the weights."""
+    flat, power = model.weights.reshape(-1), np.full(model.weights.size, 1e-6)
+    at = (np.arange(BINS) - BINS // 2) / STEPS
+    lost = 1 / (1 + np.exp(np.clip(at[:, None] - at, -40, 40)))  # of a document at one bin, paired with one of label 0 at another
+    for _ in range(rounds):
+        bad, good = count(model).reshape(2, flat.size, BINS).astype(float)
+        b, g = (x[: model.weights.shape[1]].sum(0) for x in (bad, good))  # each row is in one cell of the first feature
+        step = good @ (lost @ b) / (g.sum() * b.sum()) - bad @ (g @ lost) / (g.sum() * b.sum()) - decay * flat
         power += step**2
         flat += rate * step / np.sqrt(power)
-    scores = model.raw(both)
-    middle = float(np.quantile(scores, len(bad) / len(both)))  # the quantile that divides the labels
-    upper, lower = np.median(model.raw(good)), np.median(model.raw(bad))
-    model.middle, model.scale = middle, max(float(upper - lower) / 8, 1e-6)
+
+
+def _settle(model: Ranker, label: np.ndarray, score: np.ndarray, n: np.ndarray) -> Ranker:
+    """The line to the 0-1 scale, from the counts of training scores."""
+    order = np.argsort(score)
+    label, score, n = label[order], score[order], n[order]
+    model.middle = float(quantiles(score, n, n[label == 0].sum() / n.sum()))  # the quantile that divides the labels
+    upper, lower = (quantiles(score[label == k], n[label == k], 0.5) for k in (1, 0))
+    model.scale = max(float(upper - lower) / 8, 1e-6)
     return model
 
 
+def one_sided(n_good: int, n_bad: int) -> Ranker:
+    """With one label only there are no pairs: every score is then that label's (0.5 without any label)."""
+    return Ranker(np.zeros((0, 0)), np.zeros((0, 0)), 0.0, 1.0, 0.5 if not n_good + n_bad else 0.99 if n_good else 0.01)
+
+
+CELLS, ROUNDS, RATE, DECAY = 12, 40, 0.3, 1e-3
+
+
+def fit(rows: np.ndarray, labels: np.ndarray, cells: int = CELLS, rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY) -> Ranker:
+    """Learn scores from all preference pairs of rows in memory; ``train`` does the same for tables."""
+    good, bad = int((labels == 1).sum()), int((labels == 0).sum())
+    if not good or not bad:
+        return one_sided(good, bad)
+    label, f = labels.astype(np.int64), rows.shape[1]
+    cuts = _cuts(np.repeat(label, f), np.tile(np.arange(f), len(rows)), value_codes(rows).ravel(), np.ones(rows.size, int), f, cells)
+    model = Ranker(cuts, np.zeros((f, cuts.shape[1] + 1)), 0.0, 1.0)
+    at = model.cells(rows)
+    _climb(model, lambda m: score_bins(m, at, label), rounds, rate, decay)
+    return _settle(model, label, model.raw(rows), np.ones(len(rows), int))
+
+
 def measured(docs: DataFrame, id_col: str, text_col: str, keep: DataFrame | None = None) -> DataFrame:
     picked = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     if keep is not None:
-        picked = picked.join(F.broadcast(keep), "id").select("id", "text", "label")
+        picked = picked.join(keep, "id").select("id", "text", "label")
 
     def make():
         def run(cols):
@@ -159,21 +215,75 @@ def measured(docs: DataFrame, id_col: str, text_col: str, keep: DataFrame | None
     return map_batches(picked, f"id {docs.schema[id_col].dataType.simpleString()}, label int, row array<double>", make)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 4000, seed: int = 7) -> Ranker:
-    """Fit on at most ``per_label`` documents of each label among the label rows that ``learn`` (a condition) takes.
+def train(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cells: int = CELLS, rounds: int = ROUNDS) -> Ranker:
+    """Fit on all labelled documents among the label rows that ``learn`` (a condition) takes.
 
-    The sample is the rows with the smallest hash of their id, so it is the same wherever the rows lie. The ids
-    of the sample (at most 2 x ``per_label``) are broadcast. NULL ids and labels are left out; an id labelled
-    twice counts by its smallest label.
+    Their features are written once; a round reads two bytes a feature. NULL ids and labels are left out; an id labelled
+    twice counts by its smallest label. With one label only every score is that label's.
     """
     clean = labels.where(learn).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     clean = clean.where(F.col("id").isNotNull() & F.col("label").isin(0, 1)).groupBy("id").agg(F.min("label").alias("label"))
-    sample = bounded_sample(clean, "label", "id", per_label, seed).select("id", "label")
-    got = measured(docs, id_col, text_col, sample).toArrow()
-    if not got.num_rows:
-        return fit(np.zeros((0, len(FEATURES))), np.zeros(0, int))
-    table = pa.table(got).sort_by([("id", "ascending")])
-    return fit(np.array(table["row"].to_pylist(), float), np.array(table["label"].to_pylist(), int), seed=seed)
+    rows = cut_lineage(measured(docs, id_col, text_col, clean).select("label", "row"))
+    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(n) < 2:
+        return one_sided(n.get(1, 0), n.get(0, 0))
+    f = len(FEATURES)
+
+    def matrix(cols):
+        return cols["row"].flatten().to_numpy().reshape(-1, f), cols["label"].to_numpy().astype(np.int64)
+
+    def make_counts():
+        def run(cols):
+            x, label = matrix(cols)
+            keys = np.stack([np.repeat(label, f), np.tile(np.arange(f), len(x)), value_codes(x).ravel()], 1)
+            keys, times = np.unique(keys, axis=0, return_counts=True)
+            return {"label": keys[:, 0], "feature": keys[:, 1], "code": keys[:, 2], "n": times}
+
+        return run
+
+    by_value = map_batches(rows, "label long, feature long, code long, n long", make_counts).groupBy("label", "feature", "code").agg(F.sum("n").alias("n")).toArrow()
+    cuts = _cuts(*(by_value[c].to_numpy() for c in ("label", "feature", "code", "n")), f, cells)
+    model = Ranker(cuts, np.zeros((f, cuts.shape[1] + 1)), 0.0, 1.0)
+    width, wide = cuts.shape[1] + 1, np.arange(f) * (cuts.shape[1] + 1)
+
+    def make_cells():
+        def run(cols):
+            x, label = matrix(cols)
+            return {"label": label, "cells": [c.tobytes() for c in (model.cells(x) - wide).astype(np.uint16)]}
+
+        return run
+
+    packed = cut_lineage(map_batches(rows, "label long, cells binary", make_cells).hint("rebalance"))
+
+    def each(batches):
+        for batch in batches:
+            if batch.num_rows:
+                own = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.uint16).reshape(-1, f)
+                yield own + wide, batch.column("label").to_numpy()
+
+    def count(now: Ranker) -> np.ndarray:
+        def run(batches):
+            total = 0
+            for own, label in each(batches):
+                total = total + score_bins(now, own, label)
+            if not np.isscalar(total):
+                key = np.flatnonzero(total)
+                yield pa.record_batch([pa.array(key), pa.array(total[key])], names=["key", "n"])
+
+        got = packed.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(2 * f * width * BINS, np.int64)
+        out[got["key"].to_numpy()] = got["n"].to_numpy()
+        return out
+
+    _climb(model, count, rounds, RATE, DECAY)
+
+    def scores(batches):
+        for own, label in each(batches):
+            keys, times = np.unique(np.stack([label, np.rint(model.weights.ravel()[own].sum(1) * 1024).astype(np.int64)], 1), axis=0, return_counts=True)
+            yield pa.record_batch([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(times)], names=["label", "score", "n"])
+
+    got = packed.mapInArrow(scores, "label long, score long, n long").groupBy("label", "score").agg(F.sum("n").alias("n")).toArrow()
+    return _settle(model, got["label"].to_numpy(), got["score"].to_numpy() / 1024, got["n"].to_numpy())
 
 
 def score(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text_col: str = "text", held_out=None) -> DataFrame:

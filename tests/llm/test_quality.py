@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from granary.llm.quality import FEATURES, THRESHOLD, Ranker, fit, keep_good, measures, quality_scores, score, train
+from granary.llm.quality import FEATURES, THRESHOLD, Ranker, code_values, fit, keep_good, measures, quality_scores, score, train, value_codes
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -65,3 +65,35 @@ def test_edge_rows(frame):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.predicted}
     empty = train(docs.limit(0), labels.limit(0), F.lit(True))
     assert score(docs.limit(0), empty).count() == 0 and keep_good(docs, empty).count() == 5
+
+
+def test_learns_from_every_label(frame):
+    """5,000 alike good documents of small hash would fill a sample; the others are learned from all the same."""
+    rows = [(i, "plain words of a good text " * 3, 1) for i in range(5000)]
+    rows += [(5000 + i, "some words that nobody wants " * 3 + "$$$ ### " * (i % 3 + 1), 0) for i in range(6000)]
+    docs, labels = frame([r[:2] for r in rows], "doc_id long, text string").repartition(3), frame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    model = train(docs, labels, F.lit(True), rounds=3)
+    whole = fit(np.array([measures(t.encode()) for _, t, _ in rows], float), np.array([q for *_, q in rows]), rounds=3)
+    assert np.array_equal(model.cuts, whole.cuts) and np.allclose(model.weights, whole.weights)
+    assert abs(model.middle - whole.middle) < 2e-3 and abs(model.scale - whole.scale) < 2e-3
+    assert sum(r.predicted for r in score(docs, model).where("doc_id < 5000").collect()) == 5000
+
+
+def test_gradient_is_that_of_all_pairs():
+    rng = np.random.default_rng(5)
+    rows, labels = rng.normal(size=(60, 2)), np.arange(60) % 3 // 2
+    model = fit(rows, labels, rounds=1, decay=0.0)
+    cells = model.cells(rows)
+    step = np.zeros(model.weights.size)
+    for i in cells[labels == 1]:
+        for j in cells[labels == 0]:
+            np.add.at(step, i, 0.5)
+            np.add.at(step, j, -0.5)
+    step /= 20 * 40
+    assert np.allclose(model.weights.ravel(), 0.3 * step / np.sqrt(step**2 + 1e-6))
+
+
+def test_values_keep_their_order_as_codes():
+    x = np.array([-1e300, -2.5, -1.0, -1e-9, 0.0, 1e-9, 0.3, 1.0, 1.5, 7e8])
+    codes = value_codes(x)
+    assert (np.diff(codes) > 0).all() and np.allclose(code_values(codes), x, rtol=2**-10) and value_codes(np.array([-0.0]))[0] == 0
