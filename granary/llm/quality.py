@@ -10,6 +10,7 @@ All labelled documents are learned from, and every document of one label is pair
 document adds to the gradient depends on the other label only by how many documents it has at each score. So a round
 is one job that counts training rows by label, cell and score (to 1/8), and only such counts, whose number is bounded, reach
 the driver. Quantiles are of all rows, too, from counts of values to 11 binary digits. All texts are scored whole.
+A text is measured where it is read, before the labels are joined, so that only its features are shuffled.
 """
 
 from __future__ import annotations
@@ -201,29 +202,34 @@ def fit(rows: np.ndarray, labels: np.ndarray, cells: int = CELLS, rounds: int =
     return _settle(model, label, model.raw(rows), np.ones(len(rows), int))
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, keep: DataFrame | None = None) -> DataFrame:
-    picked = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    if keep is not None:
-        picked = picked.join(keep, "id").select("id", "text", "label")
+def measured(docs: DataFrame, id_col: str, text_col: str, held_out=None) -> DataFrame:
+    """(id, held_out, row) of all rows of ``docs``, made where they are read: features travel, texts do not."""
+    held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(True))
+    picked = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), utf8(text_col).alias("text"))
 
     def make():
         def run(cols):
-            return {"id": cols["id"], "label": cols["label"], "row": [measures(t) for t in cols["text"].to_pylist()]}
+            return {"id": cols["id"], "held_out": cols["held_out"], "row": [measures(t) for t in cols["text"].to_pylist()]}
 
         return run
 
-    return map_batches(picked, f"id {docs.schema[id_col].dataType.simpleString()}, label int, row array<double>", make)
+    return map_batches(picked, f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, row array<double>", make)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cells: int = CELLS, rounds: int = ROUNDS) -> Ranker:
     """Fit on all labelled documents among the label rows that ``learn`` (a condition) takes.
 
-    Their features are written once; a round reads two bytes a feature. NULL ids and labels are left out; an id labelled
-    twice counts by its smallest label. With one label only every score is that label's.
+    NULL ids and labels are left out; an id labelled twice counts by its smallest label. With one label only every
+    score is that label's.
     """
+    return learned(measured(docs, id_col, text_col), labels, learn, id_col, label_col, cells, rounds)
+
+
+def learned(features: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", label_col: str = "quality", cells: int = CELLS, rounds: int = ROUNDS) -> Ranker:
+    """``train`` on rows of ``measured``. Those with a label are written once; a round reads two bytes a feature."""
     clean = labels.where(learn).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     clean = clean.where(F.col("id").isNotNull() & F.col("label").isin(0, 1)).groupBy("id").agg(F.min("label").alias("label"))
-    rows = cut_lineage(measured(docs, id_col, text_col, clean).select("label", "row"))
+    rows = cut_lineage(features.select("id", "row").join(clean, "id").select("label", "row"))
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(n) < 2:
         return one_sided(n.get(1, 0), n.get(0, 0))
@@ -291,18 +297,21 @@ def score(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text_col: str
 
     NULL and empty texts have the features of a text without words. Repeated rows give repeated results.
     """
-    held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(True))
-    picked = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), utf8(text_col).alias("text"))
+    return scored(measured(docs, id_col, text_col, held_out), model, id_col)
+
+
+def scored(features: DataFrame, model: Ranker, id_col: str = "doc_id") -> DataFrame:
+    """``score`` of rows of ``measured``."""
 
     def make():
         def run(cols):
-            got = model.score(np.array([measures(t) for t in cols["text"].to_pylist()], float))
+            got = model.score(cols["row"].flatten().to_numpy().reshape(-1, len(FEATURES)))
             return {"id": cols["id"], "held_out": cols["held_out"], "score": got, "predicted": (got >= THRESHOLD).astype(np.int32)}
 
         return run
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(picked, f"id {kind}, held_out boolean, score double, predicted int", make).withColumnRenamed("id", id_col)
+    kind = features.schema["id"].dataType.simpleString()
+    return map_batches(features, f"id {kind}, held_out boolean, score double, predicted int", make).withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, model: Ranker, text_col: str = "text") -> DataFrame:
@@ -320,5 +329,5 @@ def keep_good(docs: DataFrame, model: Ranker, text_col: str = "text") -> DataFra
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents, learned from labels whose crc32 of the id modulo 5 is not 0."""
-    model = train(docs, labels, crc_mod("doc_id", 5) != 0)
-    return score(docs, model, held_out=crc_mod("doc_id", 5) == 0)
+    features = cut_lineage(measured(docs, "doc_id", "text", crc_mod("doc_id", 5) == 0))
+    return scored(features, learned(features, labels, crc_mod("doc_id", 5) != 0))

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from granary.llm import quality
 from granary.llm.quality import FEATURES, THRESHOLD, Ranker, code_values, fit, keep_good, measures, quality_scores, score, train, value_codes
 
 FOLDER = "/root/testdata/sf0.1"
@@ -97,3 +98,26 @@ def test_values_keep_their_order_as_codes():
     x = np.array([-1e300, -2.5, -1.0, -1e-9, 0.0, 1e-9, 0.3, 1.0, 1.5, 7e8])
     codes = value_codes(x)
     assert (np.diff(codes) > 0).all() and np.allclose(code_values(codes), x, rtol=2**-10) and value_codes(np.array([-0.0]))[0] == 0
+
+
+def test_texts_are_not_shuffled(spark, frame, monkeypatch):
+    """Features are made below every exchange, also where the labels are too many to be broadcast."""
+    docs = frame([(i, "plain words " * (i % 5)) for i in range(40)], "doc_id long, text string")
+    labels = frame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    plans, write, limit = [], quality.cut_lineage, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(quality, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        train(docs, labels, F.lit(True), rounds=1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    below = []
+    for plan in plans:
+        lines = plan.splitlines()
+        for k, line in enumerate(lines):
+            if "MapInArrow" in line:
+                for x in lines[k + 1 :]:
+                    if len(x) - len(x.lstrip(" :+-")) <= line.index("MapInArrow"):
+                        break
+                    below.append(x)
+    assert any("Exchange" in p for p in plans) and below and not any("Exchange" in x for x in below)
