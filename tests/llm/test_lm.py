@@ -176,3 +176,40 @@ def test_columns_survive_squeezing():
     columns = [np.arange(7, dtype=np.int32) - 3, np.arange(7, dtype=np.uint16) * 999, np.linspace(0, 1, 7)]
     got = lm.stretch(lm.squeeze(*columns), "i4", "u2", "f8")
     assert all((a == b).all() for a, b in zip(columns, got))
+
+
+def test_tasks_stay_small(frame, monkeypatch):
+    """Shares are alike in size though a few words are very frequent, and a batch of texts is cut to words in pieces."""
+    monkeypatch.setattr(lm, "EVENTS", 4000)
+    rng, most = random.Random(9), []
+    texts = [" ".join(f"w{min(999, int(rng.expovariate(0.02)))}" for _ in range(60)) for _ in range(1500)]
+    docs = frame([(i, i, False, bytearray(t.encode())) for i, t in enumerate(texts)], "row long, id long, held_out boolean, text binary")
+    model = lm.train(docs.select("text"), lm._token_counts(docs.select("text")), 1)
+    shares = 1 + model.tokens // lm.EVENTS
+    context = docs.sparkSession.sparkContext
+    sizes = Counter()
+    for r in lm._deal(docs.coalesce(1), context.broadcast(model), shares, lm.EVENTS).where("share >= 0").collect():
+        sizes[r.share] += len(lm.stretch(r.data, *lm.EVENT)[0])
+    assert sum(sizes.values()) == model.tokens and len(sizes) == shares and max(sizes.values()) < 1.4 * lm.EVENTS
+
+    cut = lm.texts_of
+    monkeypatch.setattr(lm, "texts_of", lambda cols: (most.append(len(cols["text"])), cut(cols))[1])
+    deal = type("Rows", (), {"schema": docs.schema, "mapInArrow": lambda self, run, schema: run})()
+    list(lm._deal(deal, type("Shared", (), {"value": model}), shares, lm.EVENTS)(iter(docs.coalesce(1).toArrow().combine_chunks().to_batches())))
+    assert sum(most) == 1500 and max(most) <= 250
+
+
+def test_equal_events_count_each(frame, monkeypatch):
+    """Events that occur several times have the scores they would have one by one, and weigh as many."""
+    model = small_model(frame, 300, monkeypatch)
+    rng = np.random.default_rng(1)
+    events = [rng.integers(0, 12, 3000).astype(np.int32) for _ in range(3)]
+    learn = np.arange(3000) % 4 > 0
+    got = lm.share_scores(model.tree, *events, learn)
+    asked = []
+    choices = lm.Tree.choices
+    monkeypatch.setattr(lm.Tree, "choices", lambda tree, word, *rest: (asked.append(len(word)), choices(tree, word, *rest))[1])
+    order = rng.permutation(3000)
+    again = lm.share_scores(model.tree, *(x[order] for x in events), learn[order])
+    assert np.allclose(again, got[order], atol=1e-5)
+    assert sum(asked) == len(np.unique(np.stack(events), axis=1).T)
