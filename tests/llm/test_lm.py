@@ -3,10 +3,12 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +215,48 @@ def test_equal_events_count_each(frame, monkeypatch):
     again = lm.share_scores(model.tree, *(x[order] for x in events), learn[order])
     assert np.allclose(again, got[order], atol=1e-5)
     assert sum(asked) == len(np.unique(np.stack(events), axis=1).T)
+
+
+def test_texts_are_cut_like_bytes():
+    """Bytes that are no UTF-8, other spaces, NULLs, slices of a batch."""
+    texts = [None, b"", b" ", b"\n a\x0bB \xff\xfeZ\x00q ", b"x\x1c y\x85 \xc2\xa0z", "É AÉ ſ İ".encode(), b"a", b"\xc3", b" " * 5, b"AA aa\t\r\n\x0c"]
+    for a, n in ((0, 10), (3, 4), (1, 2), (0, 1)):
+        got = lm.texts_of({"text": pa.array(texts, pa.binary()).slice(a, n)})
+        tokens = [got.tokens[c].as_py() for c in got.code.tolist()]
+        assert tokens == [t for x in texts[a : a + n] for t in [*(x or b"").lower().split(), b""]]
+        assert got.lens.tolist() == [len((x or b"").split()) + 1 for x in texts[a : a + n]]
+
+
+def test_classes_of_many_tokens():
+    rng = random.Random(1)
+    tokens = [bytes(rng.randrange(256) for _ in range(rng.randrange(1, 5))) for _ in range(2000)] + [b"a", b"\x00", b"\x00a"]
+    tail_of = {b"ab": 3, b"a": 5, tokens[0][-2:]: 7, b"\x00a": 9}
+    got = lm.tail_classes(tail_of)(pa.array([b"zz", *tokens], pa.binary()).slice(1))
+    assert got.tolist() == [tail_class(tail_of, t[-2:]) for t in tokens]
+
+
+def test_what_is_dealt_and_summed_takes_few_bytes(frame, monkeypatch):
+    monkeypatch.setattr(lm, "EVENTS", 20_000)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{min(4999, int(rng.expovariate(0.002)))}" for _ in range(100)) for _ in range(2000)]
+    docs = frame([(i, i, False, bytearray(t.encode())) for i, t in enumerate(texts)], "row long, id long, held_out boolean, text binary").coalesce(1)
+    model = lm.train(docs.select("text"), lm._token_counts(docs.select("text")), 1)
+    context, shares = docs.sparkSession.sparkContext, 1 + model.tokens // lm.EVENTS
+    tree, model.tree = context.broadcast(model.tree), None
+    dealt = lm._deal(docs, context.broadcast(model), shares, lm.EVENTS).repartition(shares, "share").sortWithinPartitions("share", "batch")
+    events = [r.data for r in dealt.where("share >= 0").collect()]
+    assert sum(map(len, events)) < 5.0 * model.tokens
+    sums = [r.data for r in lm._fit_shares(dealt, tree, 1).where("share >= 0").collect()]
+    assert sum(map(len, sums)) < 5 * sum(int.from_bytes(b[:8], "little") for b in sums)
+
+
+def test_training_leaves_no_shuffle_files(spark, frame):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {str(f) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files.getAllFiles()) if "shuffle_" in str(f)}
+    before, key = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    asked = spark.conf.get(key)
+    scores(frame([(i, f"a{i % 50} b{i % 7} c") for i in range(2000)], "doc_id long, text string").repartition(3))  # trains; its result is not run
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(key) == asked
