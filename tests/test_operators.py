@@ -1,8 +1,10 @@
 """Operators against brute force on small tables, hot groups included."""
 
+import hashlib
 import itertools
 import math
 import random
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -476,3 +478,70 @@ def test_planted_topics_are_found(frame):
     for kind, words in planted.items():
         (t,) = top[kind]
         assert sorted(weights, key=lambda w: -weights[w][t])[:6] == sorted(words, key=lambda w: -weights[w][t])
+
+
+def _comments(frame):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(90)]
+    rows = [(i % 60, " ".join(rng.choices(vocabulary, weights=range(1, 91), k=rng.randint(0, 40)))) for i in range(75)]
+    return topics.document_terms(frame([*rows, (None, "w1 lonely"), (99, None)], "id int, text string"), "id", "text")
+
+
+def _plain_fit(cells, k, seed, rounds):
+    """The rounds of a topic model, cell by cell."""
+    start = {t: [1 + int(hashlib.md5(f"{t}|{i}|{seed}".encode()).hexdigest()[:4], 16) / 65536 for i in range(1, k + 1)] for _, t, _ in cells}
+    cells = [c for c in cells if c[0] is not None]
+    theta = {d: [1 / k] * k for d, _, _ in cells}
+    phi, total = start, [sum(w[i] for w in start.values()) for i in range(k)]
+    for _ in range(rounds):
+        texts, terms = {d: [0.0] * k for d in theta}, {t: [topics.ETA] * k for _, t, _ in cells}
+        for d, t, n in cells:
+            p = [phi[t][i] / total[i] * theta[d][i] for i in range(k)]
+            for i in range(k):
+                texts[d][i] += n * p[i] / sum(p)
+                terms[t][i] += n * p[i] / sum(p)
+        theta = {d: [(x + topics.ALPHA) / (sum(w) + k * topics.ALPHA) for x in w] for d, w in texts.items()}
+        phi, total = terms, [sum(w[i] for w in terms.values()) for i in range(k)]
+    return theta, {t: [w[i] / total[i] for i in range(k)] for t, w in phi.items()}
+
+
+@pytest.mark.parametrize("held", [1 << 24, 300])
+def test_topics_in_one_task_or_in_blocks(frame, monkeypatch, held):
+    monkeypatch.setattr(topics, "CHUNK", 100)
+    monkeypatch.setattr(topics, "HELD", held)
+    cells = _comments(frame)
+    texts, terms = topics.fit_topics(cells, "id", [3, 2], 5, rounds=3)
+    plain = [_plain_fit([tuple(r) for r in cells.collect()], k, 5, 3) for k in (3, 2)]
+    for got, side in ((texts, 0), (terms, 1)):
+        rows = {r[0]: r.w for r in got.collect()}
+        assert rows.keys() == plain[0][side].keys()
+        for key, w in rows.items():
+            assert w == pytest.approx(plain[0][side][key] + plain[1][side][key], rel=1e-9)
+    scores = topics.tune_k(cells, "id", [2, 3], 5, rounds=3).collect()
+    want = topics.topic_scores(terms, [3, 2]).collect()
+    for s, w in zip(scores, reversed(want)):
+        assert tuple(s) == pytest.approx(tuple(w), rel=1e-9)
+
+
+def test_tuning_leaves_no_scratch_tables(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr("granary.session.shared_dir", lambda spark: str(tmp_path))
+    cells = _comments(frame)
+    topics.tune_k(cells, "id", range(2, 4), 5, rounds=2).collect()
+    assert [p for p in tmp_path.rglob("*.parquet")] == []
+
+
+def test_crowded_partners_are_not_joined(frame, monkeypatch):
+    monkeypatch.setattr(network, "SQUARE", 7)
+    monkeypatch.setattr(network, "DEALT", 150)
+    rng = random.Random(4)
+    crowd = [(f"i{i}", f"v{v}") for v in range(12) for i in rng.sample(range(40), rng.randint(10, 40))]
+    for rows in (crowd, crowd + [("i1", "few"), ("i2", "few"), ("i2", "few"), ("i3", "one"), (None, "v1"), ("i4", None)]):
+        edges = network.cooccurrence(frame(rows, "item string, via string"))
+        held = {}
+        for item, via in rows:
+            if item and via:
+                held.setdefault(via, set()).add(item)
+        want = Counter(pair for items in held.values() for pair in itertools.combinations(sorted(items), 2))
+        assert {(r.src, r.dst): r.weight for r in edges.collect()} == want
+        if rows is crowd:
+            assert "sequence(" not in edges._jdf.queryExecution().optimizedPlan().toString()
