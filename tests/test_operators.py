@@ -509,6 +509,7 @@ def _plain_fit(cells, k, seed, rounds):
 def test_topics_in_one_task_or_in_blocks(frame, monkeypatch, held):
     monkeypatch.setattr(topics, "CHUNK", 100)
     monkeypatch.setattr(topics, "HELD", held)
+    monkeypatch.setattr(topics, "BLOCK", 300)
     cells = _comments(frame)
     texts, terms = topics.fit_topics(cells, "id", [3, 2], 5, rounds=3)
     plain = [_plain_fit([tuple(r) for r in cells.collect()], k, 5, 3) for k in (3, 2)]
